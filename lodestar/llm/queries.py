@@ -5,14 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import line_dedup, warc
+from lodestar.llm import bpe, chat, line_dedup, quality_rules, warc
+
+#: The tokenizer file that op6 and the pipeline use; it stays where it is.
+BPE_FILE = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(BPE_FILE)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    both = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(both).alias("text"))
+    return chat.chat_digests(chat.format_chats(chat.text_parts(chats.unionByName(own))))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), bpe_path())
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
@@ -22,8 +47,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_line_dedup, op10_warc)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_chat_formatting, op6_bpe, op9_line_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.SQL, "op10_warc": warc.SQL}
+    return {"op3_quality_rules": quality_rules.SQL, "op4_chat_formatting": chat.SQL, "op9_line_dedup": line_dedup.SQL, "op10_warc": warc.SQL}
