@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, katz, line_dedup, quality_rules, warc
+from lodestar.llm import bpe, byte_conv, chat, katz, line_dedup, quality_rules, warc
 
 #: The tokenizer file that op6 and the pipeline use; it stays where it is.
 BPE_FILE = "byte_bpe_50k.json"
@@ -23,6 +23,11 @@ def bpe_path() -> str:
     return public_tokenizers.path(BPE_FILE)
 
 
+def op1_byte_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_conv.score(docs, byte_conv.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_chat_formatting, op6_bpe, op8_katz_scoring, op9_line_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_byte_conv, op3_quality_rules, op4_chat_formatting, op6_bpe, op8_katz_scoring, op9_line_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
