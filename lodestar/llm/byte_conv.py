@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: ByteConv, *more: str) -> DataFrame:
             out = [pa.array([held_out(d) for d in batch.column("doc_id").to_pylist()], pa.bool_()), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in more), *out], ["doc_id", *more, "held_out", "score", "predicted"])
 
-    schema = rows.drop("text").schema.add("held_out", "boolean").add("score", "double").add("predicted", "int")
+    schema = rows.drop("text").schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(run, schema)
 
 
