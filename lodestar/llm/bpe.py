@@ -31,9 +31,11 @@ from lodestar.llm.common import chunks, documents, texts, tune
 PATTERN = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Words whose tokens a worker keeps between batches.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
+#: Pairs of tokens that it knows to meet or not.
+KEPT_PAIRS = 400_000
 #: Bytes of text whose distinct words share a trie.
-TRIE_BYTES = 8 << 20
+TRIE_BYTES = 4 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -177,6 +179,8 @@ class Vocabulary:
         known = self._tokens
         if len(known) > KEPT_WORDS:
             known.clear()
+        if len(self._apart) > KEPT_PAIRS:
+            self._apart.clear()
         for i in self.special.values():
             known[i] = np.array([i], "<u4").tobytes()
         new = set().union(*split) - known.keys()
