@@ -46,8 +46,8 @@ BLOCK_BYTES, BUCKET_TOKENS = 20 << 20, 1_500_000
 ROW = "kind int, bucket int, block long, data binary, stats array<long>"
 ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
-#: Codes of the end token and of the history before the first word; no word's hash has them.
-END, START = np.uint64(1), np.uint64(2)
+#: What stands for the end token; no word's hash has it.
+END = np.uint64(1)
 
 HELD_OUT, MODULUS = 1, 5
 
@@ -61,12 +61,23 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max()) if a.size else 0))
 
 
-def pack(*arrays) -> bytes:
-    return zstd.compress(pickle.dumps(arrays, 5), 1)
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays, compressed by byte planes."""
+    flat = [(a.dtype.str, a.shape, np.ascontiguousarray(a).reshape(-1).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()) for a in arrays]
+    return zstd.compress(pickle.dumps(flat, 5), 3)
 
 
-def unpack(data: bytes) -> tuple:
-    return pickle.loads(zstd.decompress(data))
+def unpack(data: bytes) -> tuple[np.ndarray, ...]:
+    return tuple(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).reshape(shape) for t, shape, b in pickle.loads(zstd.decompress(data)))
+
+
+def steps(a: np.ndarray) -> np.ndarray:
+    """Ascending integers as small differences."""
+    return small(np.diff(a.astype(np.int64), prepend=0))
+
+
+def summed_up(a: np.ndarray) -> np.ndarray:
+    return np.cumsum(a, dtype=np.int64)
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -83,11 +94,11 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """Hash bits for buckets."""
-    return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    return (h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
 
 
 def word_hash(word: bytes) -> int:
-    return max(xxhash.xxh3_64_intdigest(word), 3)
+    return max(xxhash.xxh3_64_intdigest(word), 2)
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -134,21 +145,24 @@ def coded(n_buckets: int):
             sizes = np.array([len(w) + 1 for w in split], np.int64)
             words = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
             hashes = np.array([END, *map(word_hash, words.dictionary.to_pylist())], np.uint64)
-            codes = np.zeros(int(sizes.sum()), np.int32)
-            ends = np.cumsum(sizes) - 1
+            codes = np.zeros(int(sizes.sum()), np.int64)
             inner = np.ones(len(codes), bool)
-            inner[ends] = False
+            inner[np.cumsum(sizes) - 1] = False
             codes[inner] = words.indices.to_numpy() + 1
+            often = np.argsort(-np.bincount(codes, minlength=len(hashes)), kind="stable")  # frequent words get small codes
+            place = np.empty(len(often), np.int64)
+            place[often] = np.arange(len(often))
+            codes, hashes = place[codes], hashes[often]
             train = np.array([not held_out(d) for d in ids], bool)
             counts = np.bincount(codes[np.repeat(train, sizes)], minlength=len(hashes))
-            yield batch_of([(0, -1, block, pack(batch.column("doc_id").to_numpy(zero_copy_only=False), np.array([d is None for d in ids]), train, sizes, codes, hashes), None)])
+            yield batch_of([(0, -1, block, pack(np.array([d or 0 for d in ids], np.int64), np.array([d is None for d in ids]), train, small(sizes), small(codes), np.array([len(hashes)])), None)])
             where = mixed(hashes) % np.uint64(n_buckets)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(n_buckets + 1))
             for b in range(n_buckets):
                 at = order[cuts[b] : cuts[b + 1]]
                 if len(at):
-                    yield batch_of([(1, b, block, pack(at.astype(np.int32), hashes[at], small(counts[at])), None)])
+                    yield batch_of([(1, b, block, pack(steps(at), hashes[at], small(counts[at])), None)])
 
     return run
 
@@ -166,7 +180,7 @@ def by_bucket(rows: Iterator[tuple]) -> Iterator[tuple[int, list[tuple]]]:
 
 
 def totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """2: kind 2, the total counts of a block's words in a bucket; kind 3, the bucket's words, with tokens, types, counts of counts, and the words that may be hot."""
+    """2: kind 2, the total counts of a block's words in a bucket; kind 3, its tokens, types, counts of counts, words, and the words that may be hot."""
     for bucket, rows in by_bucket(rows_of(batches)):
         hashes = np.concatenate([r[3][1] for r in rows])
         counts = np.concatenate([r[3][2] for r in rows]).astype(np.int64)
@@ -174,28 +188,32 @@ def totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.bincount(at, counts, len(words)).astype(np.int64)
         begin = 0
         for _, _, block, (codes, own, _) in rows:
-            yield batch_of([(2, bucket, block, pack(codes, small(total[at[begin : begin + len(own)]])), None)])
+            span = at[begin : begin + len(own)]
+            yield batch_of([(2, bucket, block, pack(codes, small(total[span]), small(span)), None)])
             begin += len(own)
         n = [int((total == r).sum()) for r in range(1, GT_MAX + 2)]
         top = np.argsort(-total)[: HOT + 1]  # no more than HOT words can have more than one in HOT of all tokens
-        hot = [x for k in top for x in (int(words[k].astype(np.int64)), int(total[k]))]
-        yield batch_of([(3, bucket, -1, pack(), [int(total.sum()), int((total > 0).sum()), *n, *hot])])
+        hot = [x for k in top for x in (int(k), int(total[k]))]
+        yield batch_of([(3, bucket, -1, pack(), [int(total.sum()), int((total > 0).sum()), *n, len(words), *hot])])
 
 
-def placed(unigrams: Unigrams, hot: np.ndarray, n_buckets: int):
-    """3a, for a block's rows: kind 4, its documents with what needs no bigram; kind 5, its (history, word, document) for a bucket."""
+def placed(unigrams: Unigrams, offsets: dict[int, int], start: int, hot: np.ndarray, n_buckets: int):
+    """3a, words now known by a number of their own (START has the last), for a block's rows: kind 4, its documents with what needs no bigram; kind 5, its (history, word, document) for a bucket."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         docs, counts = None, []
-        for _, _, block, data in rows_of(table.to_batches()):
-            if len(data) == 6:
+        for kind, bucket, block, data in rows_of(table.to_batches()):
+            if kind == 0:
                 docs, own = data, block
             else:
-                counts.append(data)
-        ids, nulls, train, sizes, codes, hashes = docs
-        total = np.zeros(len(hashes), np.int64)
-        for at, c in counts:
-            total[at] = c
+                counts.append((offsets[bucket], *data))
+        ids, nulls, train, sizes, codes, n_words = docs
+        sizes, codes, n_words = sizes.astype(np.int64), codes.astype(np.int64), int(n_words[0])
+        total, number = np.zeros(n_words, np.int64), np.zeros(n_words + 1, np.int64)
+        number[-1] = start
+        for offset, at, c, rank in counts:
+            at = summed_up(at)
+            total[at], number[at] = c, offset + rank.astype(np.int64)
         doc = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
         c = total[codes]
         base = np.bincount(doc, unigrams.base(total)[codes], len(sizes))
@@ -204,18 +222,17 @@ def placed(unigrams: Unigrams, hot: np.ndarray, n_buckets: int):
         before = np.empty(len(codes), np.int64)
         before[1:] = codes[:-1]
         starts = np.cumsum(sizes) - sizes
-        before[starts] = len(hashes)  # START's code
-        code_hash = np.append(hashes, START)
+        before[starts] = n_words  # START's code
         # equal (history, word, document) become one row with a count
-        pair = before * len(hashes) + codes
+        pair = before * n_words + codes
         order = np.lexsort((doc, pair))
         p, d = pair[order], doc[order]
         first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (d[1:] != d[:-1])])
         times = np.diff(np.r_[first, len(p)])
         p, d = p[first], d[first]
-        h, w = p // len(hashes), p % len(hashes)
-        split = np.isin(code_hash, hot)
-        where = mixed(code_hash)[h] + np.where(split[h], mixed(hashes)[w] % np.uint64(SPLIT), np.uint64(0))
+        h, w = p // n_words, p % n_words
+        split = np.isin(number, hot)
+        where = mixed(number)[h] + np.where(split[h], mixed(number)[w] % np.uint64(SPLIT), np.uint64(0))
         where = (where % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")  # still by history
         cuts = np.searchsorted(where[order], np.arange(n_buckets + 1))
@@ -224,16 +241,18 @@ def placed(unigrams: Unigrams, hot: np.ndarray, n_buckets: int):
             at = order[cuts[b] : cuts[b + 1]]
             if not len(at):
                 continue
+            at = at[np.lexsort((d[at], number[w[at]], number[h[at]]))]
             run_at = np.flatnonzero(np.r_[True, h[at][1:] != h[at][:-1]])
             hs = h[at][run_at]
-            ws, wi = np.unique(w[at], return_inverse=True)
-            out.append((5, b, own, pack(code_hash[hs], context[hs], small(np.diff(np.r_[run_at, len(at)])), hashes[ws], small(total[ws]), small(wi), small(d[at]), small(times[at]), np.packbits(train[d[at]])), None))
+            numbers, one, wi = np.unique(number[w[at]], return_index=True, return_inverse=True)
+            step = np.diff(wi, prepend=0)
+            out.append((5, b, own, pack(steps(number[hs]), small(context[hs] + 1), small(np.diff(np.r_[run_at, len(at)])), steps(numbers), small(total[w[at][one]]), small(np.where(step < 0, step + len(numbers), step)), small(d[at]), small(times[at]), np.packbits(train[d[at]])), None))
         return pa.Table.from_batches([batch_of(out)])
 
     return run
 
 
-def counted(unigrams: Unigrams, hot: np.ndarray, n_start: int):
+def counted(unigrams: Unigrams, start: int, hot: np.ndarray, n_start: int):
     """3b, by bucket: kind 4 goes through; kind 6, documents' sums from seen tokens and unigram parts; kind 7, histories
     that someone backs off from, and who; kind 8, the bigram table; kind 9, a hot history's part of the sums."""
 
@@ -245,10 +264,11 @@ def counted(unigrams: Unigrams, hot: np.ndarray, n_start: int):
             rows = [r for r in rows if r[0] == 5]
             if not rows:
                 continue
-            h = np.concatenate([np.repeat(r[3][0], r[3][2]) for r in rows])
-            context = np.concatenate([np.repeat(r[3][1], r[3][2]) for r in rows])
-            w = np.concatenate([r[3][3][r[3][5]] for r in rows])
-            cw = np.concatenate([r[3][4][r[3][5]].astype(np.int64) for r in rows])
+            h = np.concatenate([np.repeat(summed_up(r[3][0]), r[3][2]) for r in rows])
+            context = np.concatenate([np.repeat(r[3][1].astype(np.int64) - 1, r[3][2]) for r in rows])
+            words = [summed_up(r[3][5]) % len(r[3][3]) for r in rows]
+            w = np.concatenate([summed_up(r[3][3])[i] for r, i in zip(rows, words, strict=True)])
+            cw = np.concatenate([r[3][4].astype(np.int64)[i] for r, i in zip(rows, words, strict=True)])
             doc = np.concatenate([r[3][6] for r in rows]).astype(np.int64)
             times = np.concatenate([r[3][7] for r in rows]).astype(np.int64)
             train = np.concatenate([np.unpackbits(r[3][8], count=len(r[3][6])).astype(bool) for r in rows])
@@ -261,7 +281,7 @@ def counted(unigrams: Unigrams, hot: np.ndarray, n_start: int):
             ph, pw = pairs // len(ws), pairs % len(ws)
             seen = c > 0
             ch = np.zeros(len(hs), np.int64)
-            ch[hi] = np.where(h == START, n_start, context)
+            ch[hi] = np.where(h == start, n_start, context)
             cs = np.zeros(len(ws), np.int64)
             cs[wi] = cw
             # what the backoff weight needs of a history: followers by count, tokens of large counts, unigram mass of followers
@@ -270,7 +290,7 @@ def counted(unigrams: Unigrams, hot: np.ndarray, n_start: int):
             large = np.bincount(ph, np.where(c > GT_MAX, c, 0), len(hs)).astype(np.int64)
             mass = np.bincount(ph, np.where(seen, unigrams.probability(cs)[pw], 0.0), len(hs))
             n = [int((c == r).sum()) for r in range(1, GT_MAX + 2)]
-            yield batch_of([(8, bucket, -1, pack(hs, small(np.searchsorted(ph[seen], np.arange(len(hs) + 1))), ws[pw[seen]], small(c[seen])), n)])
+            yield batch_of([(8, bucket, -1, pack(steps(hs), small(np.bincount(ph[seen], minlength=len(hs))), small(ws[pw[seen]]), small(c[seen])), n)])
             split = np.isin(hs, hot)
             if split.any():
                 yield batch_of([(9, bucket, -1, pack(hs[split], few[split], large[split], mass[split], ch[split]), None)])
@@ -367,18 +387,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
     made = stored(documents(docs).select("doc_id", "text").mapInArrow(coded(p), ROW), "coded", ["kind"]).select("kind", "bucket", "block", "data", "stats")
     words = made.filter("kind = 1").repartition(p, "bucket").sortWithinPartitions("bucket", "block")
     summed = stored(words.mapInArrow(totals, ROW), "totals", ["kind"]).select("kind", "bucket", "block", "data", "stats")
-    stats = summed.filter("kind = 3").select("stats")
-    flat = stats.select(*(F.col("stats")[i].alias(f"s{i}") for i in range(GT_MAX + 3)))
-    total, types, *n = (int(x or 0) for x in flat.groupBy().sum().first())
+    stats = summed.filter("kind = 3").select("bucket", "stats")
+    flat = stats.select("bucket", *(F.col("stats")[i].alias(f"s{i}") for i in range(GT_MAX + 4)))
+    offsets, start, sums = {}, 0, [0] * (GT_MAX + 3)
+    for r in flat.collect():  # one row for each of p buckets
+        offsets[r.bucket], start = start, start + r[GT_MAX + 4]
+        sums = [a + b for a, b in zip(sums, r[1:], strict=False)]
+    total, types, *n = sums
     unigrams = Unigrams(total, types, [0, *n])
-    pairs = stats.select(F.explode(F.transform(F.sequence(F.lit(GT_MAX + 3), F.size("stats") - 2, F.lit(2)), lambda i: F.struct(F.get("stats", i).alias("word"), F.get("stats", i + 1).alias("n")))).alias("x")).select("x.*") if total else None
-    hot = [r.word for r in pairs.filter(F.col("n") > total / HOT).collect()] if total else []  # fewer than HOT
-    hot_words = np.unique(np.array([START.astype(np.int64), *hot], np.int64).view(np.uint64))
+    top = stats.select("bucket", F.explode(F.transform(F.sequence(F.lit(GT_MAX + 4), F.size("stats") - 2, F.lit(2)), lambda i: F.struct(F.get("stats", i).alias("rank"), F.get("stats", i + 1).alias("n")))).alias("x"))
+    hot = np.array([start, *(offsets[r.bucket] + r.rank for r in top.select("bucket", "x.*").filter(F.col("n") > total / HOT).collect())], np.int64)  # fewer than HOT and START
     n_buckets = max(p, math.ceil(total / BUCKET_TOKENS))
     both = made.filter("kind = 0").unionByName(summed.filter("kind = 2"))
     n_start = total and _train_documents(docs)
-    at_blocks = both.groupBy("block").applyInArrow(placed(unigrams, hot_words, n_buckets), ROW)
-    bigrams = stored(at_blocks.repartition(p, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(counted(unigrams, hot_words, n_start), ROW), "bigrams", ["kind"]).select("kind", "bucket", "block", "data", "stats")
+    at_blocks = both.groupBy("block").applyInArrow(placed(unigrams, offsets, start, hot, n_buckets), ROW)
+    bigrams = stored(at_blocks.repartition(p, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(counted(unigrams, start, hot, n_start), ROW), "bigrams", ["kind"]).select("kind", "bucket", "block", "data", "stats")
     tables = bigrams.filter("kind = 8").select(*(F.col("stats")[i].alias(f"n{i}") for i in range(GT_MAX + 1)))
     factor = discounts([0, *(int(x or 0) for x in tables.groupBy().sum().first())])
     hot_hashes, hot_weights, hot_scales = _hot_sums(bigrams, factor)
@@ -396,14 +419,14 @@ def _hot_sums(bigrams: DataFrame, factor: np.ndarray) -> tuple[np.ndarray, np.nd
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, (hs, few, large, mass, ch) in rows_of(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(hs.view(np.int64)), pa.array(large), pa.array(mass), pa.array(ch), *(pa.array(few[:, r].copy()) for r in range(1, GT_MAX + 1))], ["h", "large", "mass", "ch", *(f"n{r}" for r in range(1, GT_MAX + 1))])
+            yield pa.RecordBatch.from_arrays([pa.array(hs), pa.array(large), pa.array(mass), pa.array(ch), *(pa.array(few[:, r].copy()) for r in range(1, GT_MAX + 1))], ["h", "large", "mass", "ch", *(f"n{r}" for r in range(1, GT_MAX + 1))])
 
     counts = ", ".join(f"n{r} long" for r in range(1, GT_MAX + 1))
     parts = bigrams.filter("kind = 9").mapInArrow(run, f"h long, large long, mass double, ch long, {counts}")
     rows = parts.groupBy("h").agg(F.sum("large").alias("large"), F.sum("mass").alias("mass"), F.max("ch").alias("ch"), *(F.sum(f"n{r}").alias(f"n{r}") for r in range(1, GT_MAX + 1))).filter("ch > 0").collect()
     if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-    hs = np.array([r.h for r in rows], np.int64).view(np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    hs = np.array([r.h for r in rows], np.int64)
     order = np.argsort(hs)
     few = np.array([[0, *(r[f"n{k}"] for k in range(1, GT_MAX + 1))] for r in rows])
     weight, scale = weights(few, np.array([r.large for r in rows]), np.array([r.mass for r in rows]), np.array([r.ch for r in rows]), factor)
