@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, byte_conv, chat, katz, line_dedup, quality_rules, warc
+from lodestar.llm import bpe, byte_conv, chat, decontaminate, katz, line_dedup, quality_rules, warc
 
 #: The tokenizer file that op6 and the pipeline use; it stays where it is.
 BPE_FILE = "byte_bpe_50k.json"
@@ -39,6 +39,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chat.text_parts(chats.unionByName(own))))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), bpe_path())
 
@@ -56,8 +60,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_conv, op3_quality_rules, op4_chat_formatting, op6_bpe, op8_katz_scoring, op9_line_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_byte_conv, op3_quality_rules, op4_chat_formatting, op5_decontaminate, op6_bpe, op8_katz_scoring, op9_line_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.SQL, "op4_chat_formatting": chat.SQL, "op9_line_dedup": line_dedup.SQL, "op10_warc": warc.SQL}
+    return {"op3_quality_rules": quality_rules.SQL, "op4_chat_formatting": chat.SQL, "op5_decontaminate": decontaminate.SQL, "op9_line_dedup": line_dedup.SQL, "op10_warc": warc.SQL}
