@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +85,48 @@ def chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             n += b
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """Counts or indexes in the least unsigned type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max()) if a.size else 0))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays, compressed by byte planes."""
+    flat = [(a.dtype.str, a.shape, np.ascontiguousarray(a).reshape(-1).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()) for a in arrays]
+    return zstd.compress(pickle.dumps(flat, 5), 3)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, ...]:
+    return tuple(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).reshape(shape) for t, shape, b in pickle.loads(zstd.decompress(data)))
+
+
+def steps(a: np.ndarray) -> np.ndarray:
+    """Ascending integers as small differences."""
+    return small(np.diff(a.astype(np.int64), prepend=0))
+
+
+def summed_up(a: np.ndarray) -> np.ndarray:
+    return np.cumsum(a, dtype=np.int64)
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node of its component), for the nodes of edges (a, b), by large-star and small-star rounds.
+
+    A node's smallest neighbour is found by partial aggregation and looked up with salt, so a node
+    with very many neighbours is no single task. Each round is written to the shared folder.
+    """
+    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    ends, before = stored(ends, "edges"), None
+    while True:
+        state = ends.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if tuple(state) == before:
+            return ends.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(ends.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+        before = tuple(state)
+        both = ends.union(ends.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = salted_lookup(both.filter("v > u"), least, ["u"], "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_star = salted_lookup(large, least, ["u"], "v", "inner").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        ends = stored(small_star.filter("u <> v").distinct(), "edges")

@@ -22,19 +22,17 @@ scores 0. An empty table gives an empty table; extra columns are ignored. No tie
 from __future__ import annotations
 
 import math
-import pickle
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard as zstd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import chunks, documents, partitions, stored, texts
+from lodestar.llm.common import chunks, documents, pack, partitions, small, steps, stored, summed_up, texts, unpack
 
 #: Counts up to this one are discounted.
 GT_MAX = 5
@@ -56,30 +54,6 @@ def held_out(doc_id: int | None, remainder: int = HELD_OUT) -> bool:
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % MODULUS == remainder
 
 
-def small(a: np.ndarray) -> np.ndarray:
-    """Counts or indexes in the least unsigned type that holds them."""
-    return a.astype(np.min_scalar_type(int(a.max()) if a.size else 0))
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays, compressed by byte planes."""
-    flat = [(a.dtype.str, a.shape, np.ascontiguousarray(a).reshape(-1).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()) for a in arrays]
-    return zstd.compress(pickle.dumps(flat, 5), 3)
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    return tuple(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).reshape(shape) for t, shape, b in pickle.loads(zstd.decompress(data)))
-
-
-def steps(a: np.ndarray) -> np.ndarray:
-    """Ascending integers as small differences."""
-    return small(np.diff(a.astype(np.int64), prepend=0))
-
-
-def summed_up(a: np.ndarray) -> np.ndarray:
-    return np.cumsum(a, dtype=np.int64)
-
-
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in ARROW]
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, ARROW, strict=True)], schema=ARROW)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, byte_conv, chat, decontaminate, katz, line_dedup, quality_rules, warc
+from lodestar.llm import bpe, byte_conv, chat, decontaminate, katz, line_dedup, ngram_join, quality_rules, warc
 
 #: The tokenizer file that op6 and the pipeline use; it stays where it is.
 BPE_FILE = "byte_bpe_50k.json"
@@ -47,6 +47,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_conv, op3_quality_rules, op4_chat_formatting, op5_decontaminate, op6_bpe, op8_katz_scoring, op9_line_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_byte_conv, op3_quality_rules, op4_chat_formatting, op5_decontaminate, op6_bpe, op7_ngram_join, op8_katz_scoring, op9_line_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
