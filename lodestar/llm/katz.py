@@ -39,7 +39,7 @@ GT_MAX = 5
 #: Histories that may hold more than one in HOT of all tokens are split into SPLIT parts.
 HOT, SPLIT = 1000, 32
 #: Bytes of text in a block, and training tokens that a bucket of histories is meant for.
-BLOCK_BYTES, BUCKET_TOKENS = 20 << 20, 1_500_000
+BLOCK_BYTES, BUCKET_TOKENS = 8 << 20, 1_000_000
 
 ROW = "kind int, bucket int, block long, data binary, stats array<long>"
 ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("stats", pa.list_(pa.int64()))])
