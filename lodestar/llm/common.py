@@ -114,8 +114,8 @@ def summed_up(a: np.ndarray) -> np.ndarray:
 def connected(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component), for the nodes of edges (a, b), by large-star and small-star rounds.
 
-    A node's smallest neighbour is found by partial aggregation and looked up with salt, so a node
-    with very many neighbours is no single task. Each round is written to the shared folder.
+    A node's smallest neighbour is found by partial aggregation; where a node has very many neighbours
+    the join with it is a skewed one, which Spark splits. Each round is written to the shared folder.
     """
     ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     ends, before = stored(ends, "edges"), None
@@ -126,7 +126,7 @@ def connected(edges: DataFrame) -> DataFrame:
         before = tuple(state)
         both = ends.union(ends.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = salted_lookup(both.filter("v > u"), least, ["u"], "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_star = salted_lookup(large, least, ["u"], "v", "inner").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        small_star = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         ends = stored(small_star.filter("u <> v").distinct(), "edges")

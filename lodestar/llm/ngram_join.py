@@ -4,8 +4,8 @@ Two sets are linked when 100 * shared >= 75 * union. Equal sets are one node, na
 doc_id. Nodes that could be linked are brought together without loss: in any order of shingles that
 is the same for all, two linked sets share one of the first n - ceil(0.75 n) + 1. The order puts
 shingles last that a count sketch of fixed size calls frequent. Nodes that share such a shingle,
-directly or in turn, form a candidate class; sharing is passed on as a star for each chunk of text
-and each shingle, never as pairs.
+directly or in turn, form a candidate class, as far as their sizes allow a link; sharing is passed on
+as runs of sizes for each chunk of text and each shingle, never as pairs.
 
 Inside a class, shingles are hashed into GROUPS groups, and a node is the point of its group counts.
 Two sets share at most the sum of the smaller counts. An R-tree over the points (pages, then nodes
@@ -38,7 +38,7 @@ OF, NEED = 7, 3
 #: Groups of shingles; entries of the tree's nodes; points of a page.
 GROUPS, FANOUT, PAGE = 64, 16, 512
 #: Cells of the count sketch, sent in SLICES parts; bytes of text in a chunk; keys that a bucket is meant for.
-CELLS, SLICES, CHUNK_BYTES, BUCKET_KEYS = 1 << 18, 64, 8 << 20, 1_000_000
+CELLS, SLICES, CHUNK_BYTES, BUCKET_KEYS = 1 << 22, 64, 8 << 20, 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -99,33 +99,35 @@ def prefix(shingles: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return shingles[np.argsort(count, kind="stable")[: n - -(-3 * n // 4) + 1]]
 
 
-def stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with the smallest node of each, and edges from it to the key's other nodes (two columns)."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    centre = np.repeat(nodes[first], np.diff(np.r_[first, len(keys)]))
-    edges = np.stack([centre, nodes], 1)[centre != nodes]
-    return keys[first], nodes[first], np.unique(edges, axis=0)
+def chained(keys: np.ndarray, low: np.ndarray, high: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of set sizes (low to high) of a key, joined where one reaches three quarters of the next: the joined
+    runs, each named by one node, and edges (two columns) from that to the nodes that named its parts.
 
-
-KEYED = "bucket int, a long, b long, data binary"
-
-
-def keyed(rows: list[tuple[int, bytes]], edges: np.ndarray) -> pa.RecordBatch:
-    n, m = len(rows), len(edges)
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows] + [None] * m, pa.int32()), pa.array([None] * n + edges[:, 0].tolist(), pa.int64()), pa.array([None] * n + edges[:, 1].tolist(), pa.int64()), pa.array([r[1] for r in rows] + [None] * m, pa.binary())], ["bucket", "a", "b", "data"])
+    Two sets of a key whose sizes allow a link are always in one run.
+    """
+    order = np.lexsort((low, keys))
+    keys, low, high, nodes = keys[order], low[order], high[order], nodes[order]
+    new_key = np.r_[True, keys[1:] != keys[:-1]]
+    reach = np.maximum.accumulate(high + np.cumsum(new_key) * (1 << 40)) - np.cumsum(new_key) * (1 << 40)
+    first = np.flatnonzero(np.r_[True, new_key[1:] | (4 * reach[:-1] < 3 * low[1:])])
+    name = np.repeat(nodes[first], np.diff(np.r_[first, len(keys)]))
+    edges = np.stack([name, nodes], 1)[name != nodes]
+    return keys[first], low[first], np.maximum.reduceat(high, first), nodes[first], np.unique(edges, axis=0)
 
 
 def prefixes(sketch, n_buckets: int):
-    """Of a chunk's nodes: edges inside the chunk, and for each bucket the prefix shingles with one node each."""
+    """Of a chunk's documents: for each bucket the runs of prefix shingles; the first row also has the edges inside the chunk."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = unpack(sketch.value)[0]
         for batch in chunks(batches, CHUNK_BYTES):
-            nodes = batch.column("doc_id").to_numpy()
-            sets = [prefix(s, counts) for s in shingle_sets(texts(batch))]
-            keys, owner, edges = stars(np.concatenate(sets), np.repeat(nodes, [len(s) for s in sets]))
+            sets = shingle_sets(texts(batch))
+            found = [prefix(s, counts) for s in sets]
+            sizes = np.repeat(np.array([len(s) for s in sets], np.int64), [len(s) for s in found])
+            keys = np.concatenate(found)
+            if not len(keys):
+                continue
+            keys, low, high, owner, edges = chained(keys, sizes, sizes, np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in found]))
             where = ((keys >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(n_buckets + 1))
@@ -134,20 +136,22 @@ def prefixes(sketch, n_buckets: int):
                 at = order[cuts[b] : cuts[b + 1]]
                 if len(at):
                     names, code = np.unique(owner[at], return_inverse=True)
-                    rows.append((b, pack(keys[at], names, small(code))))
-            yield keyed(rows, edges)
+                    rows.append((b, pack(keys[at], small(low[at]), small(high[at] - low[at]), names, small(code), edges)))
+                    edges = edges[:0]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
 
     return run
 
 
 def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between chunks, from sorted buckets."""
+    """All edges, inside and between chunks, from sorted buckets."""
 
     def out() -> pa.RecordBatch:
-        _, _, edges = stars(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+        made = chained(*(np.concatenate(x) for x in zip(*(h[:4] for h in held), strict=True)))[-1]
+        edges = np.concatenate([made, *(h[4] for h in held)])
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], ["a", "b"])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     bucket = None
     for batch in batches:
         for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
@@ -155,8 +159,9 @@ def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out()
                 held = []
             bucket = b
-            keys, names, code = unpack(data.as_py())
-            held.append((keys, names[code]))
+            keys, low, more, names, code, edges = unpack(data.as_py())
+            low = low.astype(np.int64)
+            held.append((keys, low, low + more.astype(np.int64), names[code], edges))
     if held:
         yield out()
 
@@ -326,21 +331,21 @@ def components(docs: DataFrame) -> DataFrame:
     named = digests.filter("doc_id is not null and n > 0")
     # of rows that repeat a doc_id each is a row of the node; one row of a set stands for it
     nodes = stored(named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row_fp")).alias("m"), F.max("n").alias("n")).select("k1", "k2", F.col("m.doc_id").alias("node"), F.col("m.row_fp").alias("row_fp"), "n"), "nodes")
-    n_keys = nodes.agg(F.sum("n")).first()[0] or 0
+    n_keys = digests.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(partitions(spark), math.ceil(n_keys / 4 / BUCKET_KEYS))
-    of_nodes = own.join(nodes.select(F.col("node").alias("doc_id"), "row_fp"), ["doc_id", "row_fp"], "left_semi")
-    keys = stored(of_nodes.mapInArrow(prefixes(sketch, n_buckets), KEYED), "prefixes")
-    across = keys.filter("bucket is not null").select("bucket", "data").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "a long, b long")
-    classes = stored(connected(keys.filter("bucket is null").select("a", "b").unionByName(across)), "classes")
-    members = classes.groupBy("root").agg(F.count("*").alias("members"))
-    classes = salted_lookup(classes, members, ["root"], "node", "inner").select(F.col("node"), F.col("root").alias("class"), "members")
-    texts_of = of_nodes.join(classes.withColumnRenamed("node", "doc_id"), "doc_id")
+    runs = own.filter("doc_id is not null").mapInArrow(prefixes(sketch, n_buckets), "bucket int, data binary")
+    edges = runs.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "a long, b long")
+    # documents with equal sets were passed on as well; from here on one node stands for them
+    classes = stored(connected(edges).join(nodes.select("node", "row_fp"), "node").select("node", "row_fp", F.col("root").alias("class")), "classes")
+    members = classes.groupBy("class").agg(F.count("*").alias("members"), F.min("node").alias("centre")).filter("members > 1")
+    classes = classes.join(members, "class").select(F.col("node").alias("doc_id"), "row_fp", F.col("centre").alias("class"), "members")
+    texts_of = own.join(classes, ["doc_id", "row_fp"]).dropDuplicates(["doc_id", "row_fp"])
     sets = stored(texts_of.select("doc_id", "class", "members", "text").mapInArrow(with_shingles, "node long, class long, members long, shingles binary"), "sets")
     few = sets.filter(F.col("members") <= PAGE).select(F.col("class").alias("task"), "node", F.lit(False).alias("home"), F.lit(True).alias("query"), "shingles")
     links = _by_task(few).unionByName(_large_links(sets.filter(F.col("members") > PAGE).select("class", "node", "shingles")))
     roots = connected(links)
     at = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id"))
-    out = salted_lookup(digests, at, ["k1", "k2"], "doc_id", "left")
+    out = digests.join(at, ["k1", "k2"], "left")
     found = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "row_fp", F.col("n").alias("n_shingles"), found.cast("long").alias("component_id"))
 
