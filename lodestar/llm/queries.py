@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, byte_conv, chat, decontaminate, katz, line_dedup, ngram_join, quality_rules, warc
+from lodestar.llm import bpe, bwt_dedup, byte_conv, chat, decontaminate, katz, line_dedup, ngram_join, quality_rules, warc
 
 #: The tokenizer file that op6 and the pipeline use; it stays where it is.
 BPE_FILE = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op1_byte_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_conv.score(docs, byte_conv.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_conv, op3_quality_rules, op4_chat_formatting, op5_decontaminate, op6_bpe, op7_ngram_join, op8_katz_scoring, op9_line_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_byte_conv, op2_bwt_dedup, op3_quality_rules, op4_chat_formatting, op5_decontaminate, op6_bpe, op7_ngram_join, op8_katz_scoring, op9_line_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
