@@ -105,6 +105,8 @@ def chained(keys: np.ndarray, low: np.ndarray, high: np.ndarray, nodes: np.ndarr
 
     Two sets of a key whose sizes allow a link are always in one run.
     """
+    if not len(keys):
+        return keys, low, high, nodes, np.zeros((0, 2), np.int64)
     order = np.lexsort((low, keys))
     keys, low, high, nodes = keys[order], low[order], high[order], nodes[order]
     new_key = np.r_[True, keys[1:] != keys[:-1]]
@@ -115,20 +117,44 @@ def chained(keys: np.ndarray, low: np.ndarray, high: np.ndarray, nodes: np.ndarr
     return keys[first], low[first], np.maximum.reduceat(high, first), nodes[first], np.unique(edges, axis=0)
 
 
+def attached(keys: np.ndarray, low: np.ndarray, high: np.ndarray, names: np.ndarray, late_keys: np.ndarray, late_sizes: np.ndarray, late_nodes: np.ndarray) -> np.ndarray:
+    """Edges from runs (sorted by key and low) to late nodes that a smaller set of the run could be linked to; there is one such run at most."""
+    both = np.unique(np.concatenate([keys, late_keys]))
+    code, late_code = np.searchsorted(both, keys), np.searchsorted(both, late_keys)
+    at = np.searchsorted((code << 32) + low, (late_code << 32) + late_sizes, side="right") - 1
+    ok = at >= 0
+    ok[ok] = (code[at[ok]] == late_code[ok]) & (4 * high[at[ok]] >= 3 * late_sizes[ok])
+    edges = np.stack([names[at[ok]], late_nodes[ok]], 1)
+    return np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
+
+
 def prefixes(sketch, n_buckets: int):
-    """Of a chunk's documents: for each bucket the runs of prefix shingles; the first row also has the edges inside the chunk."""
+    """Of a chunk's distinct sets: for each bucket the runs of early shingles, and the late shingles; the first row also has the edges inside the chunk.
+
+    The first shingle that two linked sets share stands among the first seventh of the smaller one: it is early there.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = unpack(sketch.value)[0]
         for batch in chunks(batches, CHUNK_BYTES):
-            sets = shingle_sets(texts(batch))
-            found = [prefix(s, counts) for s in sets]
-            sizes = np.repeat(np.array([len(s) for s in sets], np.int64), [len(s) for s in found])
-            keys = np.concatenate(found)
-            if not len(keys):
+            one: dict[bytes, tuple[int, np.ndarray]] = {}
+            for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(texts(batch)), strict=True):
+                if len(s) and ((name := s.tobytes()) not in one or one[name][0] > doc):
+                    one[name] = doc, s
+            if not one:
                 continue
-            keys, low, high, owner, edges = chained(keys, sizes, sizes, np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in found]))
-            where = ((keys >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
+            found = [prefix(s, counts) for _, s in one.values()]
+            lengths = np.array([len(f) for f in found])
+            sizes = np.repeat(np.array([len(s) for _, s in one.values()], np.int64), lengths)
+            nodes = np.repeat(np.array([d for d, _ in one.values()], np.int64), lengths)
+            rank = np.arange(len(sizes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            keys, early = np.concatenate(found), OF * (sizes - rank) >= 2 * NEED * sizes
+            run_keys, low, high, owner, edges = chained(keys[early], sizes[early], sizes[early], nodes[early])
+            late = ~early
+            every = np.concatenate([run_keys, keys[late]])
+            low, high, owner = np.concatenate([low, sizes[late]]), np.concatenate([high, sizes[late]]), np.concatenate([owner, nodes[late]])
+            is_late = np.arange(len(every)) >= len(run_keys)
+            where = ((every >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(n_buckets + 1))
             rows = []
@@ -136,7 +162,7 @@ def prefixes(sketch, n_buckets: int):
                 at = order[cuts[b] : cuts[b + 1]]
                 if len(at):
                     names, code = np.unique(owner[at], return_inverse=True)
-                    rows.append((b, pack(keys[at], small(low[at]), small(high[at] - low[at]), names, small(code), edges)))
+                    rows.append((b, pack(every[at], small(low[at]), small(high[at] - low[at]), names, small(code), np.packbits(is_late[at]), edges)))
                     edges = edges[:0]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
 
@@ -147,8 +173,9 @@ def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All edges, inside and between chunks, from sorted buckets."""
 
     def out() -> pa.RecordBatch:
-        made = chained(*(np.concatenate(x) for x in zip(*(h[:4] for h in held), strict=True)))[-1]
-        edges = np.concatenate([made, *(h[4] for h in held)])
+        keys, low, high, nodes, late = (np.concatenate(x) for x in zip(*(h[:5] for h in held), strict=True))
+        *runs, edges = chained(keys[~late], low[~late], high[~late], nodes[~late])
+        edges = np.concatenate([edges, attached(*runs, keys[late], low[late], nodes[late]), *(h[5] for h in held)])
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], ["a", "b"])
 
     held: list[tuple[np.ndarray, ...]] = []
@@ -159,9 +186,9 @@ def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out()
                 held = []
             bucket = b
-            keys, low, more, names, code, edges = unpack(data.as_py())
+            keys, low, more, names, code, late, edges = unpack(data.as_py())
             low = low.astype(np.int64)
-            held.append((keys, low, low + more.astype(np.int64), names[code], edges))
+            held.append((keys, low, low + more.astype(np.int64), names[code], np.unpackbits(late, count=len(keys)).astype(bool), edges))
     if held:
         yield out()
 
