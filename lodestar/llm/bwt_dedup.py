@@ -8,9 +8,10 @@ anchor only one document has are done with; equal runs become one.
 In a bucket the runs are the strings of an index. Two shards of them get a suffix array and a BWT
 each. The two BWTs are merged without sorting suffixes anew: an interleave (which shard each row
 comes from), true to the first h bytes, is refined to h + 1 bytes by one stable partition by the byte
-before each row. Block borders are refined alongside, so at depth h they mark where the common prefix
-of neighbours is shorter than h; at depth 50 each block is a repeated interval: all places of one
-50-byte string. Its smallest doc_id decides which of these places are removed.
+before each row. Two bytes are taken in one step. Block borders are refined alongside, so at depth h
+they mark where the common prefix of neighbours is shorter than h; at depth 50 each block is a
+repeated interval: all places of one 50-byte string. Its smallest doc_id decides which of these places
+are removed. A row near the end of its run leaves the interleave at the depth that its run can't fill.
 
 Defined results: a null or empty text has no bytes and stays. Texts under 50 bytes stay. Rows that
 repeat a doc_id don't remove each other's bytes. A null doc_id is smaller than all others. A byte
@@ -36,8 +37,9 @@ from lodestar.llm.common import chunks, documents, pack, partitions, small, text
 #: Bytes of a string, of an anchor, and most strings of a run.
 LENGTH, GRAM, RUN = 50, 8, 64
 #: Bytes of text in a chunk, and of runs that a bucket is meant for (runs overlap: they hold about RUNS bytes for each byte of text).
-CHUNK_BYTES, BUCKET_BYTES, RUNS = 4 << 20, 24 << 20, 3.2
-END = 0xFF
+CHUNK_BYTES, BUCKET_BYTES, RUNS = 4 << 20, 8 << 20, 3.2
+#: The byte that ends a run, the pair before rows that have no two bytes before them, the depth of the first interleave.
+END, NO_PAIR, FIRST = 0xFF, 0xFFFF, 8
 NO_ID = -(1 << 63)
 
 ROW = "kind int, bucket int, chunk long, data binary"
@@ -114,7 +116,10 @@ def spread(n_buckets: int):
 
 
 class Shard:
-    """Suffix array, to the depth of a string, and BWT of circular strings, each ended by END."""
+    """Suffix array, to the depth of a string, and BWT (two bytes before each row) of circular runs, each ended by END.
+
+    Of a row, `need` is the largest depth that a string's place asks of it; rows that ask less than FIRST are left out.
+    """
 
     def __init__(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
         n = len(data)
@@ -136,10 +141,13 @@ class Shard:
         for depth, step in ((4, 4), (8, 8), (16, 16), (32, LENGTH - 32)):
             if depth < LENGTH:
                 order, rank = self._ranked(rank, rank[ahead(step)], bits, bits)
-        self.order = order
-        before = np.where(place == np.repeat(begins, sizes), end - 1, place - 1)
-        self.bwt = data[before[order]]
-        self.prefix = self.prefix[order]
+        left = (end - 1 - place)[order]  # bytes to the run's end
+        offset = size[order] - 1 - left
+        use = left >= FIRST
+        self.order, self.need, self.prefix = order[use], np.minimum(left[use], 255).astype(np.uint8), self.prefix[order[use]]
+        back = np.maximum(self.order - 2, 0)
+        pair = (data[back].astype(np.uint16) << np.uint16(8)) | data[np.maximum(self.order - 1, 0)]
+        self.bwt = np.where(offset[use] < 2, np.uint16(NO_PAIR), pair)
 
     @staticmethod
     def _ranked(high: np.ndarray, low: np.ndarray, high_bits: np.uint64, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -160,49 +168,44 @@ class Shard:
         return order, rank
 
 
-def merged(one: Shard, two: Shard, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of both shards in the order of their first `depth` bytes (rows of the second follow those of the first in number), and where blocks of equal ones begin.
+def merged(one: Shard, two: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of strings, in the order of the strings: which are of the second shard, where in their shard, and where blocks of equal strings begin.
 
-    The first interleave is by 8 bytes, which the shards' rows come sorted by.
+    The first interleave is by FIRST bytes, by which the shards' rows come sorted.
     """
     prefix = np.concatenate([one.prefix, two.prefix])
     order = np.argsort(prefix, kind="stable")
     second = order >= len(one.prefix)
-    border = np.r_[True, np.diff(prefix[order].view(np.int64)) != 0]
-    byte = np.empty(len(prefix), np.uint8)
-    for _ in range(8, depth):
-        from_two = np.flatnonzero(second)
-        from_one = np.flatnonzero(~second)
-        byte[from_one], byte[from_two] = one.bwt, two.bwt
-        order = np.argsort(byte, kind="stable")
-        second = second[order]
+    border = np.r_[True, np.diff(prefix[order].view(np.int64)) != 0][: len(order)]
+    shards = [(one.bwt, one.need), (two.bwt, two.need)]
+    for depth in range(FIRST, LENGTH, 2):
+        pair = np.empty(len(second), np.uint16)
+        pair[np.flatnonzero(~second)], pair[np.flatnonzero(second)] = shards[0][0], shards[1][0]
+        order = np.argsort(pair, kind="stable")[: np.count_nonzero(pair != NO_PAIR)]
+        second, pair = second[order], pair[order]
         block = np.cumsum(border, dtype=np.int32)[order]
-        border[1:] = block[1:] != block[:-1]
-        starts = np.cumsum(np.bincount(byte, minlength=256))[:-1]
-        border[starts[starts < len(border)]] = True
-    rows = np.empty(len(prefix), np.int64)
-    rows[~second], rows[second] = one.order, two.order + len(one.order)
-    return rows, border
+        border = np.ones(len(order), bool)
+        border[1:] = (block[1:] != block[:-1]) | (pair[1:] != pair[:-1])
+        masks = [need >= depth + 2 for _, need in shards]
+        shards = [(bwt[m], need[m]) for (bwt, need), m in zip(shards, masks, strict=True)]
+    at = np.empty(len(second), np.int64)
+    at[~second], at[second] = one.order[one.need >= LENGTH], two.order[two.need >= LENGTH]
+    return second, at, border
 
 
 def first_documents(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each place of the given runs (each with its smallest document) the smallest document that has the string there; places without a whole string get the largest integer."""
+    """For each place of a string in the given runs (each with its smallest document) the smallest document that has the string; other places get the largest integer."""
+    out = np.full(len(data), np.iinfo(np.int64).max)
     if not len(sizes):
-        return np.zeros(0, np.int64)
-    half = np.flatnonzero(np.cumsum(sizes) * 2 >= len(data))[0] + 1 if len(sizes) > 1 else 1
-    half = min(max(half, 1), len(sizes))
+        return out
+    half = int(np.searchsorted(np.cumsum(sizes), len(data) / 2)) + 1 if len(sizes) > 1 else 1
+    half = min(half, len(sizes))
     cut = int(begins[half - 1] + sizes[half - 1])
-    one = Shard(data[:cut], begins[:half], sizes[:half])
-    two = Shard(data[cut:], begins[half:] - cut, sizes[half:])
-    rows, border = merged(one, two)
-    none = np.iinfo(np.int64).max
-    own = np.repeat(doc, sizes)
-    offset = np.arange(len(data)) - np.repeat(begins, sizes)
-    own = np.where(offset <= np.repeat(sizes, sizes) - 1 - LENGTH, own, none)
+    second, at, border = merged(Shard(data[:cut], begins[:half], sizes[:half]), Shard(data[cut:], begins[half:] - cut, sizes[half:]))
+    at += np.where(second, cut, 0)
     starts = np.flatnonzero(border)
-    least = np.minimum.reduceat(own[rows], starts)
-    out = np.empty(len(data), np.int64)
-    out[rows] = np.repeat(least, np.diff(np.r_[starts, len(rows)]))
+    least = np.minimum.reduceat(np.repeat(doc, sizes)[at], starts)
+    out[at] = np.repeat(least, np.diff(np.r_[starts, len(at)]))
     return out
 
 
