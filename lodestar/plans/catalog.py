@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import agreement, geometry, graph, metrics, neighbours, profiles
+from lodestar.operators import agreement, centrality, geometry, graph, metrics, models, neighbours, profiles
 from lodestar.sources import tables
 from lodestar.sources.tables import table
+from lodestar.streaming import moments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -263,6 +264,39 @@ def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.closeness(v, graph.canonical(e)))
 
 
+@query()
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, e = tables.nation_trade(spark, sf_dir)
+    return rounded(centrality.betweenness(v, graph.canonical(e)))
+
+
+@query()
+def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, e = tables.nation_trade(spark, sf_dir)
+    return centrality.communities(v, graph.canonical(e))
+
+
+@query()
+def kmeans_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.kmeans(table(spark, sf_dir, "embeddings"), "embedding", 10, "vec_id"))
+
+
+@query()
+def outcome_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return rounded(models.evaluated(models.scored(models.split(e, "vec_id", "label"), "embedding", "label"), "label"))
+
+
+@query()
+def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.projection(table(spark, sf_dir, "embeddings"), "embedding", "vec_id"))
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type AS site, count(value) AS n, round(avg(value), 6) AS mean, round(var_pop(value) * count(value), 6) AS m2 FROM events GROUP BY ALL")
+def windowed_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(moments.windowed_moments(table(spark, sf_dir, "events"), "ts", "event_type", "value"))
+
+
 @query("WITH d AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM d) SELECT least(i, j) AS SourceID, greatest(i, j) AS TargetID, round(1 / (1 + min(d)), 6) AS Weight FROM k WHERE r <= 5 GROUP BY ALL")
 def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(neighbours.knn_edges(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
