@@ -38,7 +38,7 @@ OF, NEED = 7, 3
 #: Groups of shingles; entries of the tree's nodes; points of a page.
 GROUPS, FANOUT, PAGE = 64, 16, 512
 #: Cells of the count sketch, sent in SLICES parts; bytes of text in a chunk; keys that a bucket is meant for.
-CELLS, SLICES, CHUNK_BYTES, BUCKET_KEYS = 1 << 22, 64, 8 << 20, 1_000_000
+CELLS, SLICES, CHUNK_BYTES, BUCKET_KEYS = 1 << 24, 64, 8 << 20, 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -72,13 +72,14 @@ def shingle_sets(batch: list[bytes]) -> list[np.ndarray]:
 def digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a text's set by size and 128-bit hash; kind 1: a slice of the count sketch of this partition's shingles."""
     names = ["kind", "doc_id", "row_fp", "n", "k1", "k2", "slice", "data"]
-    sketch = np.zeros(CELLS, np.int64)
+    sketch = np.zeros(CELLS, np.uint32)
     for batch in chunks(batches, CHUNK_BYTES):
         sets = shingle_sets(texts(batch))
         rows = len(sets)
         keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").reshape(-1, 2).astype(np.int64)
         if any(map(len, sets)):
-            sketch += np.bincount((np.concatenate(sets) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+            cell, times = np.unique((np.concatenate(sets) % np.uint64(CELLS)).astype(np.uint32), return_counts=True)
+            sketch[cell] += times.astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([0] * rows, pa.int32()), batch.column("doc_id"), batch.column("row_fp"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
     none = pa.nulls(SLICES, pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), none, none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array([pack(small(x)) for x in sketch.reshape(SLICES, -1)], pa.binary())], names)
@@ -89,7 +90,7 @@ def added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     total = np.zeros(CELLS // SLICES, np.int64)
     for data in table.column("data"):
         total += unpack(data.as_py())[0].astype(np.int64)
-    return pa.table({"slice": table.column("slice")[:1], "data": pa.array([pack(total)], pa.binary())})
+    return pa.table({"slice": table.column("slice")[:1], "data": pa.array([pack(small(total))], pa.binary())})
 
 
 def prefix(shingles: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -353,7 +354,7 @@ def components(docs: DataFrame) -> DataFrame:
     made = stored(own.mapInArrow(digested, "kind int, doc_id long, row_fp long, n long, k1 long, k2 long, slice int, data binary"), "digests", ["kind"])
     digests = made.filter("kind = 0").select("doc_id", "row_fp", "n", "k1", "k2")
     slices = made.filter("kind = 1").select("slice", "data").groupBy("slice").applyInArrow(added, "slice int, data binary").orderBy("slice").collect()  # SLICES rows of fixed size
-    counts = np.concatenate([unpack(r.data)[0] for r in slices]) if slices else np.zeros(CELLS, np.int64)
+    counts = np.concatenate([unpack(r.data)[0] for r in slices]) if slices else np.zeros(CELLS, np.uint8)
     sketch = spark.sparkContext.broadcast(pack(small(counts)))
     named = digests.filter("doc_id is not null and n > 0")
     # of rows that repeat a doc_id each is a row of the node; one row of a set stands for it
