@@ -1,7 +1,7 @@
 """Suffix-array dedup (2): byte strings of 50 that an earlier document has too, found by merging Burrows-Wheeler transforms.
 
 Strings that could be equal are first brought together: every 50-byte string has an anchor, the
-smallest hash among its 8-byte substrings, and equal strings have equal anchors. A document is cut
+smallest hash among its 16-byte substrings, and equal strings have equal anchors. A document is cut
 into runs of strings with the same anchor, and each run's bytes go to the anchor's bucket. Runs whose
 anchor only one document has are done with; equal runs become one.
 
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import chunks, documents, pack, partitions, small, texts, unpack
 
 #: Bytes of a string, of an anchor, and most strings of a run.
-LENGTH, GRAM, RUN = 50, 8, 64
+LENGTH, GRAM, RUN = 50, 16, 64
 #: Bytes of text in a chunk, and of runs that a bucket is meant for (runs overlap: they hold about RUNS bytes for each byte of text).
-CHUNK_BYTES, BUCKET_BYTES, RUNS = 4 << 20, 8 << 20, 3.2
+CHUNK_BYTES, BUCKET_BYTES, RUNS = 4 << 20, 12 << 20, 3.7
 #: The byte that ends a run, the pair before rows that have no two bytes before them, the depth of the first interleave.
 END, NO_PAIR, FIRST = 0xFF, 0xFFFF, 8
 NO_ID = -(1 << 63)
@@ -63,6 +63,8 @@ def anchors(data: np.ndarray) -> np.ndarray:
     for k in (1, 2, 4):
         v = (v[:-k] << np.uint64(8 * k)) | v[k:]
     v = (v ^ (v >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    v = (v[:-8] ^ (v[:-8] >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) + v[8:]
+    v = (v ^ (v >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     v ^= v >> np.uint64(32)
     width, n = 1, LENGTH - GRAM + 1
     while 2 * width <= n:
@@ -151,7 +153,7 @@ class Shard:
 
     @staticmethod
     def _ranked(high: np.ndarray, low: np.ndarray, high_bits: np.uint64, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """Order by (high, low), and dense ranks. One sort of packed words where they fit."""
+        """Order by (high, low), and dense ranks. One sort of words packed with their places where those fit, else of (high, low) alone."""
         n = len(high)
         single = high_bits == 32 and not low.any()
         if int(high_bits) + (0 if single else int(bits)) + int(bits) <= 64:
@@ -161,8 +163,9 @@ class Shard:
             value = packed >> bits
             new = value[1:] != value[:-1]
         else:
-            order = np.lexsort((low, high))
-            new = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+            pair = (high << bits) | low if not single else high
+            order = np.argsort(pair, kind="stable")
+            new = pair[order][1:] != pair[order][:-1]
         rank = np.empty(n, np.uint64)
         rank[order] = np.r_[0, np.cumsum(new)].astype(np.uint64) if n else np.zeros(0, np.uint64)
         return order, rank
