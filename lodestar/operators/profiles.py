@@ -9,9 +9,16 @@ from pyspark.sql import types as T
 from lodestar.functions.labels import is_blank
 
 # Name fragments that hint at a column's role, and thresholds of the profile.
-LEAK_NAMES = ("death", "died", "survival", "followup", "follow_up", "outcome", "post_", "result")
+LEAK_NAMES = ("outcome", "label", "target", "response", "result", "diagnosis", "final", "death", "died", "deceased", "survival", "survived", "followup", "follow_up", "post_treatment", "post-treatment", "posttreatment", "mortality", "relapse", "recurrence", "progression", "status")
+ROLE_NAMES = {
+    "id": ("id", "identifier", "accession", "mrn", "uuid", "guid", "key", "index"),
+    "outcome": ("outcome", "label", "target", "class", "response", "subtype", "y"),
+    "site": ("site", "hospital", "center", "centre", "cluster", "clinic", "institution"),
+    "time": ("date", "time", "year", "month", "day", "timestamp", "diagnosis_year"),
+}
+DATE_PATTERN = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"
+OUTCOME_LEVELS, SNIFFED, TEXT_WORDS, TEXT_SHARE = 20, 50, 4, 0.5
 ID_RATIO, DATE_SHARE, HIGH_SHARE, HIGH_COUNT = 0.95, 0.6, 0.5, 20
-DATE_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}|^\s*\d{1,2}[/.]\d{1,2}[/.]\d{2,4}"
 
 
 def table_profile(df: DataFrame) -> DataFrame:
@@ -31,6 +38,46 @@ def leakage_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if any(x in c.lower() for x in LEAK_NAMES)]
 
 
+def hits(name: str, fragments: tuple[str, ...]) -> bool:
+    return any(x in name.lower() for x in fragments)
+
+
+def text_shapes(df: DataFrame) -> dict[str, tuple[float, float]]:
+    """For each text column the shares of date-like and of long values among SNIFFED non-blank ones (the smallest, so that it is the same sample every time)."""
+    out = {}
+    for f in df.schema:
+        if isinstance(f.dataType, T.StringType):
+            c = F.col(f"`{f.name}`")
+            sample = df.select(c.alias("v")).filter(~is_blank(F.col("v"))).orderBy("v").limit(SNIFFED)
+            r = sample.agg(F.avg(F.col("v").rlike(DATE_PATTERN).cast("int")).alias("d"), F.avg((F.size(F.split(F.trim("v"), r"\s+")) >= TEXT_WORDS).cast("int")).alias("t")).first()
+            out[f.name] = (r.d or 0.0, r.t or 0.0)
+    return out
+
+
+def infer_schema(df: DataFrame) -> DataFrame:
+    """column, role (id, outcome, site, time, text, leakage, feature, excluded), by names, cardinality and shape of values; one row per column."""
+    shapes, rows, taken = text_shapes(df), [], set()
+    for r in table_profile(df).collect():
+        dated, wordy = shapes.get(r.column, (0.0, 0.0))
+        numeric = isinstance(df.schema[r.column].dataType, T.NumericType)
+        role = "feature" if numeric or r.n_unique <= OUTCOME_LEVELS else "excluded"
+        if dated >= DATE_SHARE or isinstance(df.schema[r.column].dataType, (T.DateType, T.TimestampType)):
+            role = "time"
+        elif wordy >= TEXT_SHARE:
+            role = "text"
+        elif r.looks_like_id and hits(r.column, ROLE_NAMES["id"]) and "id" not in taken:
+            role = "id"
+        elif r.n_unique <= OUTCOME_LEVELS and hits(r.column, ROLE_NAMES["outcome"]) and "outcome" not in taken:
+            role = "outcome"
+        elif not numeric and hits(r.column, ROLE_NAMES["site"]):
+            role = "site"
+        elif hits(r.column, LEAK_NAMES):
+            role = "leakage"
+        taken.add(role)
+        rows.append((r.column, role))
+    return df.sparkSession.createDataFrame(rows, "column string, role string")
+
+
 def numeric_columns(df: DataFrame, *without: str) -> list[str]:
     """Numbers, not booleans."""
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in without]

@@ -450,3 +450,16 @@ def one_hot_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     both = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return profiles.one_hot(both, "r_name", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], "c_custkey")
+
+
+@query()
+def schema_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.infer_schema(table(spark, sf_dir, "orders"))
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE role IS NULL OR lower(trim(role)) IN ('', 'nan', 'none')) AS blank_roles, count(*) FILTER (WHERE text IS NULL OR lower(trim(text)) IN ('', 'nan', 'none')) AS blank_texts FROM conversations")
+def blank_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.functions.labels import is_blank
+
+    c = table(spark, sf_dir, "conversations")
+    return c.agg(F.count("*").alias("n_rows"), F.count_if(is_blank(F.col("role"))).alias("blank_roles"), F.count_if(is_blank(F.col("text"))).alias("blank_texts"))
