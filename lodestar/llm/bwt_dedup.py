@@ -2,8 +2,9 @@
 
 Strings that could be equal are first brought together: every 50-byte string has an anchor, the
 smallest hash among its 16-byte substrings, and equal strings have equal anchors. A document is cut
-into runs of strings with the same anchor, and each run's bytes go to the anchor's bucket. Runs whose
-anchor only one document has are done with; equal runs become one.
+into runs of strings with the same anchor. Anchors go to their buckets alone first; those that only
+one document has are done with, and only of the others the runs' bytes follow. Equal runs become one.
+Documents are dealt out once, by hash into chunks, and each step meets them there again.
 
 In a bucket the runs are the strings of an index. Two shards of them get a suffix array and a BWT
 each. The two BWTs are merged without sorting suffixes anew: an interleave (which shard each row
@@ -28,16 +29,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import chunks, documents, pack, partitions, small, texts, unpack
+from lodestar.llm.common import documents, pack, partitions, small, texts, unpack
 
 #: Bytes of a string, of an anchor, and most strings of a run.
 LENGTH, GRAM, RUN = 50, 16, 64
-#: Bytes of text in a chunk, and of runs that a bucket is meant for (runs overlap: they hold about RUNS bytes for each byte of text).
-CHUNK_BYTES, BUCKET_BYTES, RUNS = 4 << 20, 12 << 20, 3.7
+#: Bytes of text that a chunk and of runs that a bucket are meant for; runs with shared anchors hold about SHARED bytes for each byte of text.
+CHUNK_BYTES, BUCKET_BYTES, SHARED = 4 << 20, 8 << 20, 1.5
 #: The byte that ends a run, the pair before rows that have no two bytes before them, the depth of the first interleave.
 END, NO_PAIR, FIRST = 0xFF, 0xFFFF, 8
 NO_ID = -(1 << 63)
@@ -92,27 +92,103 @@ def runs_of(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[begin], text[begin], at[begin], np.minimum(length[owner] - step, RUN)
 
 
-def spread(n_buckets: int):
-    """kind 0: a chunk's documents; kind 1: its runs for a bucket."""
+KEYS = "bucket int, chunk long, data binary"
+
+
+def key_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "chunk", "data"])
+
+
+def buckets_of(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by bucket, and where each bucket begins in it."""
+    where = ((keys >> np.uint64(7)) % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    return order, np.searchsorted(where[order], np.arange(n_buckets + 1))
+
+
+def laid_out(ids: list, held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, bytes, sizes of texts."""
+    return np.array([NO_ID if d is None else d for d in ids], np.int64), np.frombuffer(b"".join(held), np.uint8), np.array([len(t) for t in held], np.int64)
+
+
+def anchor_keys(n_buckets: int):
+    """For each bucket a chunk's distinct anchors, and which of them two of its documents have; from rows sorted by chunk."""
+
+    def out(chunk: int, ids: list, held: list[bytes]) -> pa.RecordBatch:
+        doc, data, sizes = laid_out(ids, held)
+        key, text, _, _ = runs_of(data, sizes)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, np.int64)
+        own = doc[text[order]]
+        many = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first) if len(first) else np.zeros(0, bool)
+        key = key[order][first]
+        order, cuts = buckets_of(key, n_buckets)
+        return key_rows([(b, chunk, pack(key[at], np.packbits(many[at]))) for b in range(n_buckets) if len(at := order[cuts[b] : cuts[b + 1]])])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = TaskContext.get().partitionId()
-        for i, batch in enumerate(chunks(batches, CHUNK_BYTES)):
-            chunk, held = (pid << 24) + i, texts(batch)
-            ids = np.array([NO_ID if d is None else d for d in batch.column("doc_id").to_pylist()], np.int64)
-            yield batch_of([(0, chunk % n_buckets, chunk, pack(ids, batch.column("row_fp").to_numpy()))])
-            data, sizes = np.frombuffer(b"".join(held), np.uint8), np.array([len(t) for t in held], np.int64)
-            key, text, begin, strings = runs_of(data, sizes)
-            begins = np.cumsum(sizes) - sizes
-            where = ((key >> np.uint64(7)) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[order], np.arange(n_buckets + 1))
-            for b in range(n_buckets):
-                at = order[cuts[b] : cuts[b + 1]]
-                if len(at):
-                    body = data[ranges(begin[at], strings[at] + LENGTH - 1)]
-                    names, code = np.unique(text[at], return_inverse=True)
-                    yield batch_of([(1, b, chunk, pack(key[at], small(names), ids[names], small(code), small(begin[at] - begins[text[at]]), small(strings[at]), body))])
+        chunk, ids, held = None, [], []
+        for batch in batches:
+            for c, d, t in zip(batch.column("chunk").to_pylist(), batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+                if held and c != chunk:
+                    yield out(chunk, ids, held)
+                    ids, held = [], []
+                chunk = c
+                ids.append(d)
+                held.append(t)
+        if held:
+            yield out(chunk, ids, held)
+
+    return run
+
+
+def shared_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk of a bucket those of its anchors that two documents have, from sorted buckets."""
+
+    def out() -> pa.RecordBatch:
+        key = np.concatenate([k for _, k, _ in held])
+        _, at, times = np.unique(key, return_inverse=True, return_counts=True)
+        many = np.zeros(len(times), bool)
+        many[at[np.concatenate([m for _, _, m in held])]] = True
+        keep = (many | (times > 1))[at]
+        ends = np.cumsum([len(k) for _, k, _ in held])
+        return key_rows([(bucket, c, pack(k[u])) for (c, k, _), u in zip(held, np.split(keep, ends[:-1]), strict=True) if u.any()])
+
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    bucket = None
+    for batch in batches:
+        for b, c, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if held and b != bucket:
+                yield out()
+                held = []
+            bucket = b
+            key, many = unpack(data)
+            held.append((c, key, np.unpackbits(many, count=len(key)).astype(bool)))
+    if held:
+        yield out()
+
+
+def spread(n_buckets: int):
+    """kind 0: a chunk's documents; kind 1: its runs with shared anchors, for a bucket."""
+
+    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        if not docs.num_rows or not shared.num_rows:
+            return pa.Table.from_batches([batch_of([])])
+        chunk = docs.column("chunk")[0].as_py()
+        ids, data, sizes = laid_out(docs.column("doc_id").to_pylist(), [x or b"" for x in docs.column("text").cast(pa.binary()).to_pylist()])
+        rows = [(0, chunk % n_buckets, chunk, pack(ids, docs.column("row_fp").to_numpy()))]
+        key, text, begin, strings = runs_of(data, sizes)
+        wanted = np.sort(np.concatenate([unpack(d.as_py())[0] for d in shared.column("data")]))
+        use = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+        key, text, begin, strings = key[use], text[use], begin[use], strings[use]
+        begins = np.cumsum(sizes) - sizes
+        order, cuts = buckets_of(key, n_buckets)
+        for b in range(n_buckets):
+            at = order[cuts[b] : cuts[b + 1]]
+            if len(at):
+                body = data[ranges(begin[at], strings[at] + LENGTH - 1)]
+                names, code = np.unique(text[at], return_inverse=True)
+                rows.append((1, b, chunk, pack(key[at], small(names), ids[names], small(code), small(begin[at] - begins[text[at]]), small(strings[at]), body)))
+        return pa.Table.from_batches([batch_of(rows)])
 
     return run
 
@@ -307,8 +383,8 @@ def united(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[first], end[np.r_[first[1:] - 1, len(end) - 1]]
 
 
-def by_document(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """doc_id, row_fp, spans of a chunk's texts that lose bytes."""
+def spans_by_document(table: pa.Table) -> dict[tuple[int, int], bytes]:
+    """Packed spans of a chunk's texts that lose bytes, by doc_id and row_fp."""
     ids = fps = None
     spans = []
     for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
@@ -316,29 +392,39 @@ def by_document(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             ids, fps = unpack(data.as_py())
         else:
             spans.append(unpack(data.as_py()))
-    text, begin, end = (np.concatenate([s[k].astype(np.int64) for s in spans]) if spans else np.zeros(0, np.int64) for k in range(3))
+    if not spans:
+        return {}
+    text, begin, end = (np.concatenate([s[k].astype(np.int64) for s in spans]) for k in range(3))
     order = np.argsort(text, kind="stable")
     cuts = np.searchsorted(text[order], np.arange(len(ids) + 1))
-    rows = []
+    out = {}
     for k in np.flatnonzero(np.diff(cuts)):
         at = order[cuts[k] : cuts[k + 1]]
-        b, e = united(begin[at], end[at])
-        rows.append((None if ids[k] == NO_ID else int(ids[k]), int(fps[k]), pack(b, e)))
-    cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-    return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "row_fp": pa.array(cols[1], pa.int64()), "spans": pa.array(cols[2], pa.binary())})
+        out[int(ids[k]), int(fps[k])] = pack(*united(begin[at], end[at]))
+    return out
+
+
+def with_spans(docs: pa.Table, found_rows: pa.Table) -> pa.Table:
+    """doc_id, row_fp, text, spans (packed begins and ends in bytes, null where nothing goes) of a chunk."""
+    spans = spans_by_document(found_rows)
+    made = [spans.get((NO_ID if d is None else d, f)) for d, f in zip(docs.column("doc_id").to_pylist(), docs.column("row_fp").to_pylist(), strict=True)]
+    return pa.table({"doc_id": docs.column("doc_id"), "row_fp": docs.column("row_fp"), "text": docs.column("text"), "spans": pa.array(made, pa.binary())})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, row_fp, spans (packed begins and ends in bytes) for each text that loses bytes."""
+    """doc_id, row_fp, text, spans of each row of docs."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")  # packed rows are large
     own = documents(docs).select("doc_id", "text", "row_fp")
     size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     p = partitions(spark)
-    n_buckets = max(p, math.ceil(RUNS * size / BUCKET_BYTES))
-    rows = own.mapInArrow(spread(n_buckets), ROW).repartition(p, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(searched, ROW)
-    spans = rows.groupBy("chunk").applyInArrow(by_document, "doc_id long, row_fp long, spans binary")
-    return spans.dropDuplicates(["doc_id", "row_fp"])  # of rows alike in doc_id and text one says it all
+    n_chunks, n_buckets = max(p, math.ceil(size / CHUNK_BYTES)), max(p, math.ceil(SHARED * size / BUCKET_BYTES))
+    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row_fp"), F.lit(n_chunks))).repartition(p, "chunk")
+    by_bucket = lambda rows: rows.repartition(p, "bucket").sortWithinPartitions("bucket", "chunk")
+    keys = by_bucket(dealt.sortWithinPartitions("chunk").mapInArrow(anchor_keys(n_buckets), KEYS)).mapInArrow(shared_keys, KEYS)
+    rows = dealt.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(spread(n_buckets), ROW)
+    spans = by_bucket(rows).mapInArrow(searched, ROW)
+    return dealt.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(with_spans, "doc_id long, row_fp long, text string, spans binary")
 
 
 def without(text: bytes, spans: bytes | None) -> tuple[bytes, int]:
@@ -351,8 +437,7 @@ def without(text: bytes, spans: bytes | None) -> tuple[bytes, int]:
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    a, b = documents(docs).select("doc_id", "text", "row_fp").alias("a"), repeated_spans(docs).alias("b")
-    both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row_fp") == F.col("b.row_fp")), "left").select("a.doc_id", "a.text", "b.spans")
+    both = repeated_spans(docs).select("doc_id", "text", "spans")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
