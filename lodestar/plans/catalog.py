@@ -236,7 +236,7 @@ def strength_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, _ = tables.nation_trade(spark, sf_dir)
-    return graph.path_pairs(_paths(spark, sf_dir, "hops"), v, v.filter("id < 5"))
+    return graph.path_pairs(_paths(spark, sf_dir, "hops"), v, v)
 
 
 _PAIRS = f"{_HOPS}, q AS (SELECT a.n_nationkey::VARCHAR AS source, b.n_nationkey::VARCHAR AS target FROM nation a JOIN nation b ON b.n_nationkey < 5 AND a.n_nationkey <> b.n_nationkey), j AS (SELECT q.source, q.target, path_cost, hops FROM q LEFT JOIN s ON q.source = s.source AND q.target = s.target)"
