@@ -4,7 +4,8 @@ Lines are normalised (white space stripped at both ends, A-Z lower-cased) and ha
 each host, here the column `source`, the distinct documents of each line are counted. A line found
 in more than `limit` documents of its host is removed, where the limit is `max_share` of the host's
 documents, at least `min_docs`. A document that keeps less than `min_left` of its words is depleted
-and rejected, as is one that fails the base rules.
+and rejected, as is one that fails the base rules. `removed_lines` gives the places of the removed
+lines, `remove_lines` the texts without them, `apply_rules` the verdicts that follow from them.
 
 Defined results: a null or empty text has no words and fails the base rules. A null host is a host.
 Rows that repeat a doc_id are one document to the counts, and each gives a row. A null doc_id is a
@@ -13,7 +14,6 @@ document. An empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -79,48 +79,99 @@ def base_counts(batch: list[bytes]) -> dict[str, np.ndarray]:
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, CHUNK_BYTES):
         got = base_counts(texts(batch))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_fp"), *(pa.array(got[c], pa.int64()) for c in COUNTS)], ["doc_id", "row_fp", *COUNTS])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row_fp", "host")), *(pa.array(got[c], pa.int64()) for c in COUNTS)], ["doc_id", "row_fp", "host", *COUNTS])
 
 
 def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct line with a word of each text: its hash and the words of all its copies there."""
+    """A row for each distinct line with a word of each text: its hash, the words of all its copies there, and their places: begins and ends in bytes, in turn, each with its line feed."""
     for batch in batches:
-        rows, hashes, words = [], [], []
+        rows, hashes, words, places = [], [], [], []
         for k, text in enumerate(texts(batch)):
-            lines = Counter(x.strip(SPACE) for x in text.lower().split(b"\n"))
-            lines.pop(b"", None)
-            for line, n in lines.items():
+            found: dict[bytes, list[int]] = {}
+            begin = 0
+            for x in text.lower().split(b"\n"):
+                end = min(begin + len(x) + 1, len(text))
+                if line := x.strip(SPACE):
+                    found.setdefault(line, []).extend((begin, end))
+                begin = end
+            for line, at in found.items():
                 rows.append(k)
                 hashes.append(xxhash.xxh3_128_digest(line))
-                words.append(n * len(line.split()))
+                words.append(len(at) // 2 * len(line.split()))
+                places.append(at)
         h = np.frombuffer(b"".join(hashes), ">i8").reshape(-1, 2).astype(np.int64)
         at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_id", "row_fp", "host")), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(words, pa.int64())], ["doc_id", "row_fp", "host", "h1", "h2", "words"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_id", "row_fp", "host")), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(words, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "row_fp", "host", "h1", "h2", "words", "places"])
 
 
-def apply_rules(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
-    """doc_id, the base counts, base_failed, removed_words, kept."""
-    spark = docs.sparkSession
-    tune(spark)
+def _rows(docs: DataFrame, *more: str) -> DataFrame:
+    tune(docs.sparkSession)
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    rows = documents(docs.select("doc_id", "text", host.alias("host")), "host")
-    counts = rows.select("doc_id", "text", "row_fp").mapInArrow(_counted, "doc_id long, row_fp long, " + ", ".join(f"{c} long" for c in COUNTS))
-    lines = rows.mapInArrow(_lines, "doc_id long, row_fp long, host string, h1 long, h2 long, words long")
+    return documents(docs.select("doc_id", "text", host.alias("host"), *more), "host", *more)
+
+
+def _removed(rows: DataFrame, max_share: float, min_docs: int) -> DataFrame:
+    lines = rows.select("doc_id", "text", "row_fp", "host").mapInArrow(_lines, "doc_id long, row_fp long, host string, h1 long, h2 long, words long, places array<int>")
     # distinct documents first by (line, document), which no frequent line gathers in one task, then partial counts by line
     frequent = lines.select("host", "h1", "h2", "doc_id").distinct().groupBy("host", "h1", "h2").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
     hosts = rows.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     frequent = frequent.join(hosts, "host").filter(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), F.col("host_docs") * F.lit(max_share))).select("host", "h1", "h2")
-    removed = salted_lookup(lines, frequent, ["host", "h1", "h2"], "doc_id", "inner").groupBy("doc_id", "row_fp").agg(F.sum("words").alias("removed"))
-    # rows alike in doc_id and text count their lines each: their sum is split evenly below
-    copies = counts.groupBy("doc_id", "row_fp").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in COUNTS))
-    a, b = copies.alias("a"), removed.alias("b")
-    both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row_fp") == F.col("b.row_fp")), "left")
-    both = both.select("a.*", F.coalesce(F.expr("b.removed div a.copies"), F.lit(0)).alias("removed_words"))
+    # a set, as rows alike in all three keys give each line again
+    cut = F.collect_set(F.struct("places", "words")).alias("cut")
+    found = salted_lookup(lines, frequent, ["host", "h1", "h2"], "doc_id", "inner").groupBy("doc_id", "row_fp", "host").agg(cut)
+    of_line = lambda x: F.transform(F.sequence(F.lit(0), F.size(x["places"]) - 2, F.lit(2)), lambda i: F.struct(F.get(x["places"], i).alias("begin"), F.get(x["places"], i + 1).alias("end")))
+    spans = F.array_sort(F.flatten(F.transform("cut", of_line)))
+    return found.select("doc_id", "row_fp", "host", spans.alias("spans"), F.aggregate("cut", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("removed_words"))
+
+
+def _with_removed(rows: DataFrame, removed: DataFrame) -> DataFrame:
+    """rows with the spans and removed_words of their lines above the limit, null where there are none."""
+    a, b = rows.alias("a"), removed.alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row_fp") == F.col("b.row_fp")) & (F.col("a.host") == F.col("b.host"))
+    return a.join(b, same, "left").select("a.*", "b.spans", "b.removed_words")
+
+
+def removed_lines(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, row_fp, host, spans, removed_words of each document with lines above the limit.
+
+    spans: begin and end in bytes of the UTF-8 text of every such line, in order, each with its line feed.
+    """
+    return _removed(_rows(docs), max_share, min_docs)
+
+
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts without their spans; those without spans as they are."""
+    for batch in batches:
+        out = []
+        for text, spans in zip(texts(batch), batch.column("spans").to_pylist(), strict=True):
+            kept, at = [], 0
+            for s in spans or ():
+                kept.append(text[at : s["begin"]])
+                at = s["end"]
+            out.append(b"".join([*kept, text[at:]]))
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, pa.binary()).cast(pa.string()), batch.column("spans").is_valid()], ["_row", "text", "is_cut"])
+
+
+def remove_lines(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The rows of docs with the same columns, their texts without the lines above the limit (n_chars follows, where there is one)."""
+    names = docs.columns
+    rows = _rows(docs.select("doc_id", "text", "source", F.struct(*names).alias("_row")), "_row")
+    both = _with_removed(rows, _removed(rows, max_share, min_docs)).select("_row", "text", "spans")
+    cut = both.mapInArrow(_cut, both.select("_row", "text").schema.add("is_cut", "boolean"))
+    cols = {n: F.col(f"_row.`{n}`") for n in names} | {"text": F.when(F.col("is_cut"), F.col("text")).otherwise(F.col("_row.text"))}
+    if "n_chars" in names:
+        cols["n_chars"] = F.when(F.col("is_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return cut.select(*(cols[n].alias(n) for n in names))
+
+
+def apply_rules(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+    """doc_id, the base counts, base_failed, removed_words, kept; the last two from the lines that removed_lines gives."""
+    rows = _rows(docs)
+    counts = rows.mapInArrow(_counted, "doc_id long, row_fp long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
+    both = _with_removed(counts, _removed(rows, max_share, min_docs)).withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("removed_words")) < F.lit(min_left) * F.col("n_words")
-    out = both.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select("doc_id", *COUNTS, "base_failed", "removed_words", "kept")
+    return both.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).select("doc_id", *COUNTS, "base_failed", "removed_words", "kept")
 
 
 #: The query's result in DuckDB SQL, with the parameters above.
