@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def auroc(df: DataFrame, y: str, score: str, *by: str) -> DataFrame:
@@ -77,6 +81,35 @@ def percentile_interval(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.count(value).alias("replicates"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """splitmix64 of unsigned integers."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shuffled(df: DataFrame, index: str, label: str, replicates: int, seed: int = 42, tasks: int = 32) -> DataFrame:
+    """df's rows for each `rep`, with a permutation of all labels: the k-th row by `index` takes the label of the k-th in the replicate's hash order.
+
+    The integers of the draws are no order to shuffle by: they grow with small indexes, which would
+    stay in place. The rows go to each task once, for all of its replicates.
+    """
+    rows = df.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartition(tasks, "_task")
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by(index).combine_chunks()
+        first, labels = t.column("_task")[0].as_py(), t.column(label)
+        i = t.column(index).to_numpy().astype(np.uint64)
+        for rep in range(first, replicates, tasks):
+            order = np.argsort(_mixed(_mixed(np.array([seed << 32 | rep], np.uint64)) + i), kind="stable")
+            out = [pa.array(np.full(len(i), rep))] + [labels.take(pa.array(order)) if c == label else t.column(c) for c in columns]
+            yield from pa.table(out, ["rep", *columns]).to_batches(max_chunksize=100_000)
+
+    return rows.groupBy("_task").applyInArrow(run, StructType([StructField("rep", LongType()), *df.schema.fields]))
+
+
 def permutation_p(observed: DataFrame, null: DataFrame, value: str, smaller: bool = False) -> DataFrame:
     """p_value: (1 + null values at least as extreme) / (null values + 1)."""
     both = null.select(F.col(value).alias("_v")).crossJoin(F.broadcast(observed.select(F.col(value).alias("_o"))))  # one row

@@ -398,12 +398,15 @@ def wilson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DRAWN = f"{_SCORED}, i AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM q), d AS (SELECT rep, (((7919 * rep * rep + 104729 * i * i + 15485863 * rep * i + 49979687 * i) % 2147483647) % n) AS i FROM range(50) x(rep), i), b AS (SELECT rep, y, s, p FROM d JOIN i USING (i))"
 
 
-def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows are few: they are numbered in one window, by their ids."""
     from pyspark.sql import Window
 
-    rows = _scored(spark, sf_dir).withColumn("i", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long"))
-    return metrics.draws(rows, "i", 50)
+    return _scored(spark, sf_dir).withColumn("i", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long"))
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.draws(_numbered(spark, sf_dir), "i", 50)
 
 
 @query(f"{_DRAWN}, a AS (SELECT rep, avg((y = p)::INTEGER) AS v FROM b GROUP BY rep) SELECT count(*) AS replicates, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM a")
@@ -421,9 +424,9 @@ def bootstrap_delta_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_DRAWN}, a AS (SELECT rep, avg((y = p)::INTEGER) AS v FROM b GROUP BY rep), o AS (SELECT avg((y = 1)::INTEGER) AS o FROM q) SELECT round(o, 6) AS observed, count(*) AS permutations, round((count(*) FILTER (WHERE v >= o) + 1) / (count(*) + 1), 6) AS p_value FROM a, o GROUP BY o")
 def permutation_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    null = _drawn(spark, sf_dir).groupBy("rep").agg(F.avg((F.col("y") == F.col("p")).cast("int")).alias("v"))
-    observed = _scored(spark, sf_dir).agg(F.avg((F.col("y") == 1).cast("int")).alias("v"))
-    return rounded(metrics.permutation_p(observed, null, "v"))
+    """The accuracy against that of 1000 shuffles of the labels, the reference's count."""
+    rows, right = _numbered(spark, sf_dir), F.avg((F.col("y") == F.col("p")).cast("int")).alias("v")
+    return rounded(metrics.permutation_p(rows.agg(right), metrics.shuffled(rows, "i", "y", 1000).groupBy("rep").agg(right), "v"))
 
 
 @query(f"{_DRAWN}, a AS (SELECT rep, avg((y = p)::INTEGER) - avg(y) AS v FROM b GROUP BY rep) SELECT count(*) AS k, round(avg(v), 6) AS mean, round(sqrt((1 / count(*) + 0.25::DOUBLE) * var_samp(v)), 6) AS se FROM a")
