@@ -151,7 +151,7 @@ def histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH k AS (SELECT (vec_id % 4)::INTEGER AS site, label, count(*) AS n FROM embeddings WHERE vec_id % 7 < label GROUP BY ALL), t AS (SELECT count(*) FILTER (WHERE n < 10) AS low, min(n) FILTER (WHERE n >= 10) AS nxt FROM k) SELECT site, label, n FROM k, t WHERE n >= 10 AND NOT (low = 1 AND n = nxt)")
 def suppressed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _sites(spark, sf_dir).filter(F.pmod("vec_id", F.lit(7)) < F.col("label")).groupBy("site", "label").agg(F.count("*").alias("n"))
+    cells = _sites(spark, sf_dir).groupBy("site", "label").agg(F.count("*").alias("n"))
     return profiles.suppressed(cells)
 
 
