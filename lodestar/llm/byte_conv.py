@@ -4,7 +4,7 @@ A text's bytes are embedded; small filters (4 bytes, every 2) are averaged over
 (256 bytes, every 128) that cover the whole text; a second layer turns each chunk into features, and
 the largest value of each feature over all chunks gives one probability. All weights are learned,
 from a bounded sample of labelled rows: the SAMPLE_ROWS labelled documents with the smallest hash of
-their doc_id, as long as their texts fit in SAMPLE_BYTES. Only text reaches the network.
+their doc_id, but for each that doesn't fit in what is left of SAMPLE_BYTES. Only text reaches the network.
 
 Defined results: a null or empty text has one chunk of padding and gets a score as any other. A null
 label is no label; of several labels of a doc_id the smallest counts. Without both labels in the
@@ -163,18 +163,18 @@ class ByteConv:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels to learn from, none of them held out."""
+    """Texts and labels to learn from, none of them held out: in hash order, each that fits in what is left of `size`; a longer one is left out alone."""
     train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(MODULUS)) != HELD_OUT
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & train)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts_of = documents(docs).join(F.broadcast(chosen), "doc_id")  # `rows` rows at most
-    order = texts_of.select("doc_id", "text", "row_fp", "label", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "row_fp").limit(rows)
+    order = texts_of.select("doc_id", "text", "row_fp", "label", F.octet_length("text").alias("n")).filter(F.col("n") <= size).orderBy(F.xxhash64("doc_id"), "doc_id", "row_fp").limit(rows)
     out, held, used = [], [], 0
     for r in order.toLocalIterator():
+        if used + r.n > size:
+            continue
         used += r.n
-        if used > size:
-            break
         out.append(r.text.encode("utf-8", "replace"))
         held.append(r.label)
     return out, np.array(held, np.float32)
