@@ -12,7 +12,7 @@ comes from), true to the first h bytes, is refined to h + 1 bytes by one stable
 before each row. Two bytes are taken in one step. Block borders are refined alongside, so at depth h
 they mark where the common prefix of neighbours is shorter than h; at depth 50 each block is a
 repeated interval: all places of one 50-byte string. Its smallest doc_id decides which of these places
-are removed. A row near the end of its run leaves the interleave at the depth that its run can't fill.
+are removed. A row that is alone in its block leaves the interleave: no string before it can repeat.
 
 Defined results: a null or empty text has no bytes and stays. Texts under 50 bytes stay. Rows that
 repeat a doc_id don't remove each other's bytes. A null doc_id is smaller than all others. A byte
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import documents, pack, partitions, small, texts, unpack
+from lodestar.llm.common import documents, lean, pack, partitions, small, texts, tune, unpack
 
 #: Bytes of a string, of an anchor, and most strings of a run.
 LENGTH, GRAM, RUN = 50, 16, 64
@@ -194,87 +194,105 @@ def spread(n_buckets: int):
 
 
 class Shard:
-    """Suffix array, to the depth of a string, and BWT (two bytes before each row) of circular runs, each ended by END.
+    """Suffix array, to the depth of a string, and BWT (two bytes before each row) of runs, each ended by END.
 
-    Of a row, `need` is the largest depth that a string's place asks of it; rows that ask less than FIRST are left out.
+    Rows are the places with at least FIRST bytes before their run's end. `before` is the last-to-first map by two bytes.
     """
 
     def __init__(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
         n = len(data)
-        self.data = data
-        end = np.repeat(begins + sizes, sizes)
-        size = np.repeat(sizes, sizes)
-        place = np.arange(n)
-
-        def ahead(k: int) -> np.ndarray:
-            at = place + k
-            return np.where(at >= end, at - size, at)
-
-        key = data.astype(np.uint64)
-        for k in (1, 2):
-            key = (key << np.uint64(8 * k)) | key[ahead(k)]
-        self.prefix = (key << np.uint64(32)) | key[ahead(4)]
-        bits = np.uint64(max(n, 2).bit_length())
-        order, rank = self._ranked(key, np.zeros(n, np.uint64), np.uint64(32), bits)
-        for depth, step in ((4, 4), (8, 8), (16, 16), (32, LENGTH - 32)):
-            if depth < LENGTH:
-                order, rank = self._ranked(rank, rank[ahead(step)], bits, bits)
-        left = (end - 1 - place)[order]  # bytes to the run's end
-        offset = size[order] - 1 - left
+        long = np.concatenate([data, np.full(8, END, np.uint8)])
+        key = long[:-1].astype(np.uint64) << np.uint64(8) | long[1:]
+        key = key[:-2] << np.uint64(16) | key[2:]
+        prefix = key[:n] << np.uint64(32) | key[4 : n + 4]
+        order = self._sorted(prefix, n)
+        offset = (np.arange(n, dtype=np.int32) - np.repeat(begins, sizes).astype(np.int32))[order]
+        left = np.repeat(sizes, sizes).astype(np.int32)[order] - 1 - offset  # bytes to the run's end
         use = left >= FIRST
-        self.order, self.need, self.prefix = order[use], np.minimum(left[use], 255).astype(np.uint8), self.prefix[order[use]]
-        back = np.maximum(self.order - 2, 0)
-        pair = (data[back].astype(np.uint16) << np.uint16(8)) | data[np.maximum(self.order - 1, 0)]
-        self.bwt = np.where(offset[use] < 2, np.uint16(NO_PAIR), pair)
+        self.order, offset = order[use], offset[use]
+        self.prefix = prefix[self.order]
+        self.bwt = (key[self.order - 2] >> np.uint64(16)).astype(np.uint16)
+        self.bwt[offset < 2] = NO_PAIR
+        row = np.zeros(n, np.int32)
+        row[self.order] = np.arange(len(self.order), dtype=np.int32)
+        self.before = row[self.order - 2]
 
     @staticmethod
-    def _ranked(high: np.ndarray, low: np.ndarray, high_bits: np.uint64, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """Order by (high, low), and dense ranks. One sort of words packed with their places where those fit, else of (high, low) alone."""
-        n = len(high)
-        single = high_bits == 32 and not low.any()
-        if int(high_bits) + (0 if single else int(bits)) + int(bits) <= 64:
-            pair = high if single else (high << bits) | low
-            packed = np.sort((pair << bits) | np.arange(n, dtype=np.uint64))
-            order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-            value = packed >> bits
-            new = value[1:] != value[:-1]
-        else:
-            pair = (high << bits) | low if not single else high
-            order = np.argsort(pair, kind="stable")
-            new = pair[order][1:] != pair[order][:-1]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.r_[0, np.cumsum(new)].astype(np.uint64) if n else np.zeros(0, np.uint64)
-        return order, rank
+    def _sorted(prefix: np.ndarray, n: int) -> np.ndarray:
+        """Places by the LENGTH bytes from each on. Ranks double their depth; only rows that are still tied are sorted again."""
+        order = np.argsort(prefix, kind="stable") if n >= 1 << 32 else Shard._by(prefix >> np.uint64(32), prefix & np.uint64(0xFFFFFFFF), n)
+        new = np.empty(n, bool)
+        new[:1], new[1:] = True, np.diff(prefix[order].view(np.int64)) != 0
+        rank = np.zeros(n + LENGTH, np.int64)  # the slot of the first row that is equal so far
+        slots = np.arange(n)
+        rank[order] = np.maximum.accumulate(np.where(new, slots, 0))
+        depth = 8
+        while depth < LENGTH:
+            tied = ~new
+            tied[:-1] |= ~new[1:]
+            slots = slots[tied]
+            if not len(slots):
+                break
+            step = min(depth, LENGTH - depth)
+            places = order[slots]
+            own, ahead = rank[places], rank[places + step]
+            by = Shard._by(own.view(np.uint64), ahead.view(np.uint64), n)
+            places, own, ahead = places[by], own[by], ahead[by]
+            order[slots] = places
+            new = np.ones(len(slots), bool)
+            new[1:] = (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])
+            rank[places] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+            depth += step
+        return order
+
+    @staticmethod
+    def _by(high: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
+        """The order by (high, low), each below max(n, 2 ** 32): one sort of words that hold both and the place where those fit."""
+        bits, place = [np.uint64(max(int(x.max()) if len(x) else 0, 1).bit_length()) for x in (high, low)], np.uint64(max(len(high), 2).bit_length())
+        mask = (np.uint64(1) << place) - np.uint64(1)
+        at = np.arange(len(high), dtype=np.uint64)
+        if int(bits[0]) + int(bits[1]) + int(place) <= 64:
+            return (np.sort((high << bits[1] | low) << place | at) & mask).astype(np.int64)
+        first = (np.sort(low << place | at) & mask).astype(np.int64)
+        return first[(np.sort(high[first] << place | at) & mask).astype(np.int64)]
+
+
+def repeated(block: np.ndarray) -> np.ndarray:
+    """Which rows, in blocks marked by their first rows, share a block with another."""
+    out = ~block
+    out[:-1] |= ~block[1:]
+    return out
 
 
 def merged(one: Shard, two: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of strings, in the order of the strings: which are of the second shard, where in their shard, and where blocks of equal strings begin.
+    """Places of strings that another place has too, in the order of the strings: which are of the second shard, where in their shard, and where blocks of equal strings begin.
 
-    The first interleave is by FIRST bytes, by which the shards' rows come sorted.
+    The first interleave is by FIRST bytes, by which the shards' rows come sorted, so it is one merge of two sorted lists.
+    A row alone in its block has no equal at any greater depth, nor has any row before it: it leaves the interleave.
     """
+    n = len(one.order)
     prefix = np.concatenate([one.prefix, two.prefix])
-    order = np.argsort(prefix, kind="stable")
-    second = order >= len(one.prefix)
-    border = np.r_[True, np.diff(prefix[order].view(np.int64)) != 0][: len(order)]
-    shards = [(one.bwt, one.need), (two.bwt, two.need)]
-    for depth in range(FIRST, LENGTH, 2):
-        pair = np.empty(len(second), np.uint16)
-        pair[np.flatnonzero(~second)], pair[np.flatnonzero(second)] = shards[0][0], shards[1][0]
+    before = np.concatenate([one.before.astype(np.int64), two.before.astype(np.int64) + n]) << 16 | np.concatenate([one.bwt, two.bwt])
+    row = np.argsort(prefix, kind="stable")  # in the first shard's rows, or from n on in the second's
+    border = np.ones(len(row), bool)
+    border[1:] = np.diff(prefix[row].view(np.int64)) != 0
+    for _ in range(FIRST, LENGTH, 2):
+        stay = repeated(border)
+        block = np.cumsum(border, dtype=np.int32)[stay]
+        link = before[row[stay]]
+        pair = link.astype(np.uint16)
         order = np.argsort(pair, kind="stable")[: np.count_nonzero(pair != NO_PAIR)]
-        second, pair = second[order], pair[order]
-        block = np.cumsum(border, dtype=np.int32)[order]
-        border = np.ones(len(order), bool)
+        row, pair, block = link[order] >> 16, pair[order], block[order]
+        border = np.ones(len(row), bool)
         border[1:] = (block[1:] != block[:-1]) | (pair[1:] != pair[:-1])
-        masks = [need >= depth + 2 for _, need in shards]
-        shards = [(bwt[m], need[m]) for (bwt, need), m in zip(shards, masks, strict=True)]
-    at = np.empty(len(second), np.int64)
-    at[~second], at[second] = one.order[one.need >= LENGTH], two.order[two.need >= LENGTH]
-    return second, at, border
+    stay = repeated(border)
+    row, border = row[stay], border[stay]
+    return row >= n, np.concatenate([one.order, two.order])[row], border
 
 
 def first_documents(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each place of a string in the given runs (each with its smallest document) the smallest document that has the string; other places get the largest integer."""
-    out = np.full(len(data), np.iinfo(np.int64).max)
+    """For each place of a string in the given runs (each with its smallest document) the smallest document that has the string."""
+    out = np.repeat(doc, sizes)
     if not len(sizes):
         return out
     half = int(np.searchsorted(np.cumsum(sizes), len(data) / 2)) + 1 if len(sizes) > 1 else 1
@@ -282,8 +300,10 @@ def first_documents(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, doc
     cut = int(begins[half - 1] + sizes[half - 1])
     second, at, border = merged(Shard(data[:cut], begins[:half], sizes[:half]), Shard(data[cut:], begins[half:] - cut, sizes[half:]))
     at += np.where(second, cut, 0)
+    if not len(at):
+        return out
     starts = np.flatnonzero(border)
-    least = np.minimum.reduceat(np.repeat(doc, sizes)[at], starts)
+    least = np.minimum.reduceat(out[at], starts)
     out[at] = np.repeat(least, np.diff(np.r_[starts, len(at)]))
     return out
 
@@ -414,16 +434,16 @@ def with_spans(docs: pa.Table, found_rows: pa.Table) -> pa.Table:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, row_fp, text, spans of each row of docs."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")  # packed rows are large
+    tune(spark)
     own = documents(docs).select("doc_id", "text", "row_fp")
     size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     p = partitions(spark)
     n_chunks, n_buckets = max(p, math.ceil(size / CHUNK_BYTES)), max(p, math.ceil(SHARED * size / BUCKET_BYTES))
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row_fp"), F.lit(n_chunks))).repartition(p, "chunk")
     by_bucket = lambda rows: rows.repartition(p, "bucket").sortWithinPartitions("bucket", "chunk")
-    keys = by_bucket(dealt.sortWithinPartitions("chunk").mapInArrow(anchor_keys(n_buckets), KEYS)).mapInArrow(shared_keys, KEYS)
+    keys = by_bucket(dealt.sortWithinPartitions("chunk").mapInArrow(lean(anchor_keys(n_buckets)), KEYS)).mapInArrow(lean(shared_keys), KEYS)
     rows = dealt.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(spread(n_buckets), ROW)
-    spans = by_bucket(rows).mapInArrow(searched, ROW)
+    spans = by_bucket(rows).mapInArrow(lean(searched), ROW)
     return dealt.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(with_spans, "doc_id long, row_fp long, text string, spans binary")
 
 
@@ -445,4 +465,4 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
             got = [without(t, s) for t, s in zip(held, batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in held], pa.int64()), pa.array([len(t) - len(g[0]) for t, g in zip(held, got, strict=True)], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(g[0]).hexdigest() for g in got], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
