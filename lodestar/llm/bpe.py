@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import chunks, documents, texts, tune
+from lodestar.llm.common import chunks, documents, lean, texts, tune
 
 # Fixed value: how a byte-level vocabulary splits text into words. Letters and digits come first here;
 # nothing that begins with an apostrophe matches them, so the order of the rest decides as ever.
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, path: str, *more: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in more), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", *more, "n_tokens", "ids"])
 
     schema = rows.drop("text").schema.add("n_tokens", "long").add("ids", "binary")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -238,7 +238,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     names = [c for c in encoded.columns if c != "decoded"]
     rows = encoded.select(*names)
-    return rows.mapInArrow(run, rows.select(*names).schema.add("decoded", "string"))
+    return rows.mapInArrow(lean(run), rows.select(*names).schema.add("decoded", "string"))
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:

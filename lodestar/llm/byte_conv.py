@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import documents, texts, tune
+from lodestar.llm.common import documents, lean, texts, tune
 
 #: Bound of the sample that the driver learns from.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 24 << 20
@@ -35,7 +35,7 @@ THRESHOLD = 0.3
 HALF, EMBED, FILTERS, FEATURES = 128, 8, 16, 16
 UPDATES, BATCH, STEP, DECAY = 600, 32, 0.01, 1e-4
 #: Bytes scored at once.
-SCORED_BYTES = 2 << 20
+SCORED_BYTES = 512 << 10
 PAD = 256
 
 
@@ -83,7 +83,32 @@ class ByteConv:
         return np.maximum(mean @ self.w["chunk"] * 4 + self.w["chunk_bias"], 0)
 
     def scores(self, batch: list[bytes]) -> np.ndarray:
-        """Probabilities of label 1. A filter's value at a byte pair is looked up, not computed anew."""
+        """Probabilities of label 1, from slices of at most SCORED_BYTES: the features' maxima are kept from slice to slice."""
+        best = np.full((len(batch), FEATURES), -np.inf, self.w["out"].dtype)
+        held, size = [], 0  # (text, its slice, chunks of the slice that count)
+        most = SCORED_BYTES // HALF
+
+        def pooled() -> None:
+            if held:
+                feat, begins = self._chunk_features([piece for _, piece, _ in held])
+                for (k, _, n), a in zip(held, begins.tolist(), strict=True):
+                    best[k] = np.maximum(best[k], feat[a : a + n].max(0))
+                held.clear()
+
+        for k, t in enumerate(batch):
+            n_chunks = max(2, -(-(len(t) + 4) // HALF)) - 1
+            for a in range(0, n_chunks, most):
+                piece = t[a * HALF : (a + most + 2) * HALF]  # with the half after its last chunk, which the last filter value reaches into
+                if size + len(piece) > SCORED_BYTES:
+                    pooled()
+                    size = 0
+                held.append((k, piece, min(most, n_chunks - a)))
+                size += len(piece)
+        pooled()
+        return 1 / (1 + np.exp(-(best @ self.w["out"] + self.w["out_bias"]).astype(np.float64)))
+
+    def _chunk_features(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Features of all chunks, and where each text's begin. A filter's value at a byte pair is looked up, not computed anew."""
         if self._pairs is None:
             e = self.w["embed"]
             both = np.concatenate([np.repeat(e, 257, 0), np.tile(e, (257, 1))], 1)
@@ -94,8 +119,7 @@ class ByteConv:
         values[:-1] += self._pairs[1][pair[1:]]
         np.maximum(values, 0, out=values)
         mean, _, _, begins = self._pool(values, data[0::2] != PAD, halves)
-        best = np.maximum.reduceat(self._features(mean), begins, axis=0)
-        return 1 / (1 + np.exp(-(best @ self.w["out"] + self.w["out_bias"]).astype(np.float64)))
+        return self._features(mean), begins
 
     def gradients(self, batch: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
         """Of the log loss."""
@@ -168,15 +192,20 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: in
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & train)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts_of = documents(docs).join(F.broadcast(chosen), "doc_id")  # `rows` rows at most
-    order = texts_of.select("doc_id", "text", "row_fp", "label", F.octet_length("text").alias("n")).filter(F.col("n") <= size).orderBy(F.xxhash64("doc_id"), "doc_id", "row_fp").limit(rows)
-    out, held, used = [], [], 0
-    for r in order.toLocalIterator():
-        if used + r.n > size:
-            continue
-        used += r.n
-        out.append(r.text.encode("utf-8", "replace"))
-        held.append(r.label)
+    own = documents(docs).withColumn("n", F.octet_length("text").cast("long"))
+    sizes = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "row_fp", "label", "n")  # `rows` rows at most
+    order = sizes.filter(F.col("n") <= size).orderBy(F.xxhash64("doc_id"), "doc_id", "row_fp").limit(rows).collect()
+    taken, used = {}, 0
+    for r in order:
+        if used + r.n <= size:
+            used += r.n
+            taken[len(taken)] = r
+    if not taken:
+        return [], np.zeros(0, np.float32)
+    wanted = docs.sparkSession.createDataFrame([(k, r.doc_id, r.row_fp) for k, r in taken.items()], "place int, doc_id long, row_fp long")
+    found = own.join(F.broadcast(wanted), ["doc_id", "row_fp"]).groupBy("place").agg(F.first("text").alias("text"))  # `size` bytes at most
+    by_place = {r.place: r.text.encode("utf-8", "replace") for r in found.toLocalIterator()}
+    out, held = [by_place[k] for k in taken], [r.label for r in taken.values()]
     return out, np.array(held, np.float32)
 
 
@@ -195,26 +224,17 @@ def score(docs: DataFrame, model: ByteConv, *more: str) -> DataFrame:
         own = ByteConv()
         own.w = pickle.loads(weights.value)
         for batch in batches:
-            held = texts(batch)
-            got, k = [], 0
-            while k < len(held):
-                end, size = k, 0
-                while end < len(held) and (end == k or size + len(held[end]) <= SCORED_BYTES):
-                    size += len(held[end])
-                    end += 1
-                got.append(own.scores(held[k:end]))
-                k = end
-            p = np.concatenate(got) if got else np.zeros(0)
+            p = own.scores(texts(batch))
             out = [pa.array([held_out(d) for d in batch.column("doc_id").to_pylist()], pa.bool_()), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in more), *out], ["doc_id", *more, "held_out", "score", "predicted"])
 
     schema = rows.drop("text").schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with the same columns."""
     names = docs.columns
-    packed = docs.select("doc_id", "text", F.struct(*names).alias("_row"))
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names))).alias("_row"))
     scored = score(packed, train(docs, labels), "_row").filter("predicted = 1")
-    return scored.select(*(F.col(f"_row.`{n}`").alias(n) for n in names))
+    return scored.select(*(F.col(f"_row.c{i}").alias(n) for i, n in enumerate(names)))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import chunks, documents, pack, partitions, small, steps, stored, summed_up, texts, unpack
+from lodestar.llm.common import chunks, documents, pack, partitions, small, steps, stored, summed_up, texts, tune, unpack
 
 #: Counts up to this one are discounted.
 GT_MAX = 5
@@ -356,7 +356,7 @@ def finished(total: int):
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, by a model of the documents not held out."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")  # packed rows are large
+    tune(spark)
     p = partitions(spark)
     made = stored(documents(docs).select("doc_id", "text").mapInArrow(coded(p), ROW), "coded", ["kind"]).select("kind", "bucket", "block", "data", "stats")
     words = made.filter("kind = 1").repartition(p, "bucket").sortWithinPartitions("bucket", "block")

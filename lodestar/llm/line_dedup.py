@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SPACE, documents, partitions, stored, texts, tune
+from lodestar.llm.common import SPACE, documents, lean, partitions, stored, texts, tune
 
 #: Code points that a key needs to count.
 MIN_CHARS = 10
@@ -65,31 +65,31 @@ def later_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a sorted partition: kind 0, lines after the key's first document; kind 1, lines of the first
     run's first document, which an earlier partition may own; kind 2, the marker."""
     pid = TaskContext.get().partitionId()
-    key = first = None  # of the run at hand
-    first_key, first_run, runs, out = None, True, 0, []
     schema = pa.schema([("kind", pa.int32()), ("pid", pa.int32()), ("doc_id", pa.int64()), ("row_fp", pa.int64()), ("line", pa.int32()), *((n, pa.int64()) for n in ("first1", "first2", "last1", "last2", "last_doc")), ("one_run", pa.bool_())])
-
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) if out else [[] for _ in range(4)]
-        out.clear()
-        n = len(cols[0])
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([pid] * n, pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(5)), pa.nulls(n, pa.bool_())], schema=schema)
-
+    first_key, last, runs = None, None, 0  # last: key and first document (id, whether it is null) of the run at hand
     for batch in batches:
-        for a, b, doc, fp, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (a, b) != key:
-                key, first, runs = (a, b), doc, runs + 1
-                first_key = first_key or key
-                first_run = runs == 1
-            if doc != first:
-                out.append((0, doc, fp, line))
-            elif first_run:
-                out.append((1, doc, fp, line))
-            if len(out) >= 20_000:
-                yield flush()
-    yield flush()
-    if key:
-        row = {"kind": 2, "pid": pid, "first1": first_key[0], "first2": first_key[1], "last1": key[0], "last2": key[1], "last_doc": first, "one_run": runs == 1}
+        n = batch.num_rows
+        if not n:
+            continue
+        a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
+        null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        doc = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+        new = np.ones(n, bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        new[0] = last is None or (int(a[0]), int(b[0])) != last[:2]
+        run = np.cumsum(new)  # 0: the run that the batch before left
+        at = np.flatnonzero(new)
+        owner, owner_null = np.r_[last[2] if last else 0, doc[at]], np.r_[last[3] if last else False, null[at]]
+        later = (doc != owner[run]) | (null != owner_null[run])
+        keep = later | (run + runs == 1)
+        index = np.flatnonzero(keep)
+        made = [pa.array(np.where(later[index], 0, 1).astype(np.int32)), pa.array(np.full(len(index), pid, np.int32)), *(batch.column(c).take(pa.array(index)) for c in ("doc_id", "row_fp", "line"))]
+        yield pa.RecordBatch.from_arrays([*made, *(pa.nulls(len(index), pa.int64()) for _ in range(5)), pa.nulls(len(index), pa.bool_())], schema=schema)
+        first_key = first_key or (int(a[0]), int(b[0]))
+        last = int(a[-1]), int(b[-1]), int(owner[run[-1]]), bool(owner_null[run[-1]])
+        runs += len(at)
+    if last:
+        row = {"kind": 2, "pid": pid, "first1": first_key[0], "first2": first_key[1], "last1": last[0], "last2": last[1], "last_doc": None if last[3] else last[2], "one_run": runs == 1}
         yield pa.RecordBatch.from_pylist([row], schema=schema)
 
 
@@ -126,16 +126,17 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, row_fp, keep: a bitmap for each row of documents that loses a line."""
     spark = docs.sparkSession
     tune(spark)
-    lines = documents(docs).select("doc_id", "text", "row_fp").mapInArrow(hashed_lines(min_chars), LINES)
+    # written, as dealing out by ranges reads its rows twice
+    lines = stored(documents(docs).select("doc_id", "text", "row_fp").mapInArrow(lean(hashed_lines(min_chars)), LINES), "lines")
     order = ["h1", "h2", "doc_id", "row_fp", "line"]
     ranged = lines.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    streamed = stored(ranged.mapInArrow(later_lines, STREAMED), "later_lines")
+    streamed = stored(ranged.mapInArrow(lean(later_lines), STREAMED), "later_lines")
     markers = streamed.filter("kind = 2").select("pid", "first1", "first2", "last1", "last2", "last_doc", "one_run").collect()  # one row per partition
-    dropped = F.col("kind") == 0
-    for pid, doc in continued(markers).items():
-        dropped = dropped | ((F.col("kind") == 1) & (F.col("pid") == pid) & ~F.col("doc_id").eqNullSafe(F.lit(doc).cast("long")))
-    per_doc = streamed.filter(dropped).groupBy("doc_id", "row_fp").agg(F.collect_list("line").alias("lines"))  # a document's own lines
-    return per_doc.mapInArrow(bitmaps, "doc_id long, row_fp long, keep binary")
+    begun = spark.createDataFrame([(pid, doc) for pid, doc in continued(markers).items()], "pid int, first_doc long").withColumn("goes_on", F.lit(True))
+    owned = streamed.filter("kind < 2").join(F.broadcast(begun), "pid", "left")  # a row per partition at most
+    dropped = (F.col("kind") == 0) | F.col("goes_on") & ~F.col("doc_id").eqNullSafe(F.col("first_doc"))
+    per_doc = owned.filter(dropped).groupBy("doc_id", "row_fp").agg(F.collect_list("line").alias("lines"))  # a document's own lines
+    return per_doc.mapInArrow(lean(bitmaps), "doc_id long, row_fp long, keep binary")
 
 
 def kept_lines(text: bytes, keep: bytes | None) -> tuple[int, int, bytes]:
@@ -158,8 +159,9 @@ def _with_bitmaps(docs: DataFrame, min_chars: int, *more: str) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the same columns and rows, each text without its later lines (n_chars follows, where there is one)."""
     names = docs.columns
-    packed = docs.select("doc_id", "text", F.struct(*names).alias("_row"))
-    joined = _with_bitmaps(packed, min_chars, "_row")
+    # the text goes through the join and to Python once, beside the row's other columns
+    others = F.struct(F.col("text").isNull().alias("none"), *(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names) if n != "text"))
+    joined = _with_bitmaps(docs.select("doc_id", "text", others.alias("_row")), min_chars, "_row")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,10 +169,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string())], ["_row", "_new"])
 
     schema = joined.select("_row").schema.add("_new", "string")
-    out = joined.select("_row", "text", "keep").mapInArrow(run, schema)
-    cols = {n: F.col(f"_row.`{n}`") for n in names} | {"text": F.when(F.col("_row.text").isNotNull(), F.col("_new"))}
+    out = joined.select("_row", "text", "keep").mapInArrow(lean(run), schema)
+    none = F.col("_row.none")
+    cols = {n: F.col(f"_row.c{i}") for i, n in enumerate(names) if n != "text"} | {"text": F.when(~none, F.col("_new"))}
     if "n_chars" in names:
-        cols["n_chars"] = F.when(F.col("_row.text").isNull(), F.col("_row.n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
+        cols["n_chars"] = F.when(none, cols["n_chars"]).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
     return out.select(*(cols[n].alias(n) for n in names))
 
 
@@ -182,7 +185,7 @@ def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             got = [kept_lines(t, k) for t, k in zip(texts(batch), batch.column("keep").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return _with_bitmaps(docs, min_chars).select("doc_id", "text", "keep").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return _with_bitmaps(docs, min_chars).select("doc_id", "text", "keep").mapInArrow(lean(run), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 #: The query's result in DuckDB SQL.

@@ -188,7 +188,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, min_byt
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """The records of archives given as rows with their bytes in `content`."""
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    tune(archives.sparkSession)
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
