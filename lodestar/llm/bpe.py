@@ -26,16 +26,29 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import chunks, documents, lean, texts, tune
 
-# Fixed value: how a byte-level vocabulary splits text into words. Letters and digits come first here;
-# nothing that begins with an apostrophe matches them, so the order of the rest decides as ever.
-PATTERN = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+# Fixed value: how a byte-level vocabulary splits text into words, as published. The library's white space is
+# Unicode's White_Space, which `\s` of this regular expression module isn't; it is named in place of `\s`.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Words whose tokens a worker keeps between batches.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 #: Pairs of tokens that it knows to meet or not.
-KEPT_PAIRS = 400_000
+KEPT_PAIRS = 300_000
 #: Bytes of text whose distinct words share a trie.
-TRIE_BYTES = 4 << 20
+TRIE_BYTES = 3 << 20
+
+
+def check_settings(made: dict) -> None:
+    """Raises ValueError where a tokenizer file asks for what this encoder doesn't do."""
+    model, split, decoder = made.get("model") or {}, made.get("pre_tokenizer") or {}, made.get("decoder") or {}
+    wrong = [k for k in ("normalizer",) if made.get(k)]
+    wrong += [f"model.{k}" for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += ["model.type"] * (model.get("type", "BPE") != "BPE")
+    wrong += ["pre_tokenizer.type"] * (split.get("type") != "ByteLevel") + ["pre_tokenizer.add_prefix_space"] * bool(split.get("add_prefix_space")) + ["pre_tokenizer.use_regex"] * (split.get("use_regex") is False)
+    wrong += ["decoder.type"] * (decoder.get("type") != "ByteLevel")
+    wrong += [f"added token {t['content']!r}: {k}" for t in made.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    if wrong:
+        raise ValueError("tokenizer settings that aren't supported: " + ", ".join(wrong))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,16 +63,13 @@ class Vocabulary:
 
     def __init__(self, source: bytes):
         made = json.loads(source)
+        check_settings(made)
         letters = byte_alphabet()
         model = made["model"]
         as_bytes = {t: bytes(letters[c] for c in t) for t in model["vocab"] if all(c in letters for c in t)}
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
         self.id_of = {as_bytes[t]: i for t, i in model["vocab"].items() if t in as_bytes}
-        self.pieces: list[bytes] = [b""] * (1 + max([*model["vocab"].values(), *self.special.values()]))
-        for piece, i in self.id_of.items():
-            self.pieces[i] = piece
-        for text, i in self.special.items():
-            self.pieces[i] = text.encode()
+        self.pieces = piece_list(source)
         self.rank = dict.fromkeys((self.id_of[bytes([b])] for b in range(256) if bytes([b]) in self.id_of), -1)
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -190,7 +200,25 @@ class Vocabulary:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return joined(self.pieces, ids)
+
+
+def joined(pieces: list[bytes], ids: bytes) -> str:
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
+def piece_list(source: bytes) -> list[bytes]:
+    """The bytes of each id: all that decoding needs."""
+    made, letters = json.loads(source), byte_alphabet()
+    check_settings(made)
+    vocab, special = made["model"]["vocab"], {t["content"]: t["id"] for t in made["added_tokens"]}
+    out = [b""] * (1 + max([*vocab.values(), *special.values()]))
+    for t, i in vocab.items():
+        if all(c in letters for c in t):
+            out[i] = bytes(letters[c] for c in t)
+    for t, i in special.items():
+        out[i] = t.encode()
+    return out
 
 
 _loaded: dict[bytes, Vocabulary] = {}
@@ -231,9 +259,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     source = _vocabulary(encoded, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = loaded(source.value)
+        pieces = piece_list(source.value)
         for batch in batches:
-            made = [None if x is None else vocabulary.decode(x) for x in batch.column("ids").to_pylist()]
+            made = [None if x is None else joined(pieces, x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "decoded"])
 
     names = [c for c in encoded.columns if c != "decoded"]

@@ -103,3 +103,24 @@ def katz(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int, f
         base = sum(math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
         out[i] = (len(t), sum(one[w] > 0 for w in t), n, base, score)
     return out
+
+
+def byte_conv_score(w: dict, text: bytes) -> float:
+    """A plain forward pass: each chunk of 256 bytes every 128, filters of 4 bytes every 2, in loops."""
+    half, pad = 128, 256
+    n = max(2, -(-(len(text) + 4) // half))
+    data = list(text) + [pad] * (n * half - len(text))
+    n_filters, n_features = len(w["bias"]), len(w["chunk_bias"])
+    values = []
+    for p in range(0, len(data), 2):
+        now = [x for b in data[p : p + 2] for x in w["embed"][b].tolist()]
+        after = [x for b in data[p + 2 : p + 4] for x in w["embed"][b].tolist()]
+        got = [float(w["bias"][f]) + sum(x * float(w["left"][i][f]) for i, x in enumerate(now)) + sum(x * float(w["right"][i][f]) for i, x in enumerate(after)) for f in range(n_filters)]
+        values.append(None if data[p] == pad else [max(v, 0.0) for v in got])
+    best = [-math.inf] * n_features
+    for c in range(n - 1):
+        real = [v for v in values[c * half // 2 : (c + 2) * half // 2] if v is not None]
+        mean = [sum(v[f] for v in real) / max(len(real), 1) for f in range(n_filters)]
+        for k in range(n_features):
+            best[k] = max(best[k], max(0.0, 4 * sum(m * float(w["chunk"][f][k]) for f, m in enumerate(mean)) + float(w["chunk_bias"][k])))
+    return 1 / (1 + math.exp(-sum(b * float(x) for b, x in zip(best, w["out"].tolist(), strict=True)) - float(w["out_bias"][0])))

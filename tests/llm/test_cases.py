@@ -234,3 +234,33 @@ def test_score_without_both_labels():
     net = byte_conv.ByteConv().fit([b"a", b"b"], np.array([1.0, 1.0], np.float32))
     assert net.scores([b"", b"zzz"]).min() > 0.99
     assert abs(byte_conv.ByteConv().fit([], np.zeros(0, np.float32)).scores([b"x"])[0] - 0.5) < 1e-9
+
+
+def test_unsupported_tokenizer_settings_are_refused():
+    import json
+
+    with open(queries.bpe_path(), "rb") as f:
+        made = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": made["model"] | {"ignore_merges": True}}, {"added_tokens": [made["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError, match="supported"):
+            bpe.check_settings(made | change)
+    bpe.check_settings(made)
+
+
+def test_scores_equal_a_plain_forward_pass(monkeypatch):
+    """Also where a text is scored in slices."""
+    from tests.llm import brute
+
+    net = byte_conv.ByteConv(3)
+    texts = [b"", b"a", b"xyz" * 41, bytes(range(1, 250)) * 9, b"hello world " * 300]
+    want = [brute.byte_conv_score(net.w, t) for t in texts]
+    for size in (512 << 10, 512, 128):
+        monkeypatch.setattr(byte_conv, "SCORED_BYTES", size)
+        assert np.allclose(net.scores(texts), want, atol=1e-5)
+
+
+def test_markers_of_many_partitions():
+    from types import SimpleNamespace
+
+    markers = [SimpleNamespace(pid=k, first1=1, first2=1, last1=1, last2=1, last_doc=k, one_run=True) for k in range(3000)]
+    assert line_dedup.continued(markers) == dict.fromkeys(range(1, 3000), 0)
