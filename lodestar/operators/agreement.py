@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window
@@ -107,7 +106,7 @@ def funnel(df: DataFrame, group: str, wrong: str) -> DataFrame:
     return both.withColumn("outside_warn", (r < F.col("warn_low")) | (r > F.col("warn_high"))).drop("p")
 
 
-def conformal_sets(df: DataFrame, item: str, judge: str, human: str, confidence: str, order, alpha: float = 0.1) -> DataFrame:
+def conformal_sets(df: DataFrame, item: str, judge: str, human: str, confidence: str, order, alpha: float = 0.1, keep_confidence: bool = False) -> DataFrame:
     """item, judge, human, set_size, covers_human for the half of the items that doesn't calibrate. Binary labels '0' and '1'.
 
     `order` puts the items in a fixed random order; a global row number is what half of them means,
@@ -124,8 +123,4 @@ def conformal_sets(df: DataFrame, item: str, judge: str, human: str, confidence:
     threshold = ranked.agg(F.coalesce(F.max(F.when((level < 1) & (F.col("_k") == at), F.col("_s"))), F.lit(1.0)).alias("_t"))
     test = scored.filter("not _fit").crossJoin(F.broadcast(threshold))
     own, other = 1 - F.col(confidence) <= F.col("_t"), F.col(confidence) <= F.col("_t")
-    return test.select(item, judge, human, (own.cast("int") + other.cast("int")).alias("set_size"), F.when(F.col(judge) == F.col(human), own).otherwise(other).alias("covers_human"))
-
-
-def any_of(conditions: list) -> object:
-    return reduce(lambda a, b: a | b, conditions)
+    return test.select(item, judge, human, *([confidence] if keep_confidence else []), (own.cast("int") + other.cast("int")).alias("set_size"), F.when(F.col(judge) == F.col(human), own).otherwise(other).alias("covers_human"))

@@ -8,20 +8,23 @@ import math
 ALPHA, MOST_DROP, LEAST_MARGIN = 0.05, 0.10, 0.02
 
 
-def difference_se(sd_a: float, n_a: int, sd_b: float, n_b: int) -> float:
-    return math.sqrt(sd_a**2 / n_a + sd_b**2 / n_b) if n_a and n_b else math.inf
+def difference_se(sd_a: float | None, n_a: int, sd_b: float | None, n_b: int) -> float | None:
+    """Standard error of a difference of means; none where a side has fewer than two values."""
+    if n_a < 2 or n_b < 2 or sd_a is None or sd_b is None:
+        return None
+    return math.sqrt(sd_a**2 / n_a + sd_b**2 / n_b)
 
 
 def permutation_gate(p: float | None) -> str:
     return "untested" if p is None else "pass" if p < ALPHA else "fail"
 
 
-def split_gate(random: float | None, community: float | None, se: float = 0.0) -> str:
+def split_gate(random: float | None, community: float | None, se: float | None = 0.0) -> str:
     """Whether the score holds when whole communities are held out; within two standard errors of the limit is unresolved."""
     if random is None or community is None:
         return "untested"
     drop = random - community
-    if abs(drop - MOST_DROP) <= 2 * se:
+    if abs(drop - MOST_DROP) <= 2 * (se or 0.0):
         return "unresolved"
     return "pass" if drop <= MOST_DROP else "fail"
 
@@ -35,6 +38,20 @@ def baseline_gate(margin: float | None, se: float | None = None, t: float = 2.0)
     return "pass" if margin >= LEAST_MARGIN else "fail"
 
 
+def external_gate(metrics: dict | None) -> str:
+    """Whether the model was tried on rows from elsewhere, and better than chance there."""
+    if not metrics or metrics.get("balanced_accuracy") is None:
+        return "untested"
+    return "pass" if metrics["balanced_accuracy"] > 0.5 else "fail"
+
+
+def graph_semantics_gate(semantics: str, edge_timing: str) -> str:
+    """Only edges that are relations, known before the outcome, carry a claim; edges made from the features restate them."""
+    if semantics == "unspecified" or edge_timing == "unknown":
+        return "untested"
+    return "pass" if semantics == "observed_relation" and edge_timing == "pre_outcome" else "fail"
+
+
 def safety_gate(class_counts: dict[str, int], test_rows: int) -> dict:
     """What blocks a model, what downgrades it, and warnings."""
     least, labeled = min(class_counts.values(), default=0), sum(class_counts.values())

@@ -8,12 +8,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tasks that a hub's edges are spread over.
+SALTS = 16
+
+
 def _kept(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again; /tmp where none is set."""
-    base = (df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestar-checkpoints").rstrip("/")
-    path = f"{base}/lodestar-{uuid.uuid4().hex}"
+    """df written to the shared checkpoint folder and read again; in local mode, as in tests, under /tmp where none is set. The table goes when the application ends."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/lodestar-checkpoints"
+    path = f"{base.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _salted(rows: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows joined to one, which has a row per key; a key's rows go to SALTS tasks."""
+    a = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    b = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return a.join(b, [key, "_salt"]).drop("_salt")
 
 
 def canonical(edges: DataFrame, directed: bool = False) -> DataFrame:
@@ -54,10 +73,10 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         before = state
         both = ends.union(ends.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _salted(both.filter("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        ends = _kept(large.join(least, "u").select(F.explode(pairs).alias("e")).select("e.*").filter("u <> v").distinct())
+        ends = _kept(_salted(large, least, "u", "v").select(F.explode(pairs).alias("e")).select("e.*").filter("u <> v").distinct())
     roots = ends.groupBy("u").agg(F.min("v").alias("root"))
     named = vertices.select("id").join(roots.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
     sizes = named.groupBy("component").agg(F.count("*").alias("component_size"))
@@ -114,7 +133,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, mode: str = "hops", dir
 
 def path_pairs(paths: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Every (source, target) pair of the two stated sets, source <> target, with nulls where no path is."""
-    pairs = sources.select(F.col("id").cast("string").alias("source")).distinct().crossJoin(F.broadcast(targets.select(F.col("id").cast("string").alias("target")).distinct())).filter("source <> target")
+    pairs = sources.select(F.col("id").cast("string").alias("source")).distinct().crossJoin(targets.select(F.col("id").cast("string").alias("target")).distinct()).filter("source <> target")
     return pairs.join(paths, ["source", "target"], "left")
 
 
@@ -157,3 +176,23 @@ def closeness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     n = vertices.count()
     paths = shortest_paths(edges, vertices).filter("source <> target").groupBy(F.col("source").alias("id")).agg(F.sum("path_cost").alias("s"), F.count("*").alias("m"))
     return vertices.select(F.col("id").cast("string").alias("id")).join(paths, "id", "left").select("id", F.coalesce(F.col("m") / F.col("s") * F.col("m") / F.lit(max(n - 1, 1)), F.lit(0.0)).alias("closeness"))
+
+
+def path_table(pairs: DataFrame, mode: str) -> DataFrame:
+    """source, target, path_mode, path_cost, distance (of a strength path none), hops, path_strength, path."""
+    distance = F.lit(None).cast("double") if mode == "strength" else F.col("path_cost")
+    return pairs.select("source", "target", F.lit(mode).alias("path_mode"), "path_cost", distance.alias("distance"), "hops", "path_strength", F.coalesce("path", F.lit("")).alias("path"))
+
+
+def nearest_table(paths: DataFrame) -> DataFrame:
+    """source, nearest_target, path_mode, path_cost, distance, hops, path_strength, path, reachable_target_count, target_count, of a path_table."""
+    row = F.struct(F.col("target").alias("nearest_target"), "path_mode", "path_cost", "distance", "hops", "path_strength", "path")
+    best = F.min_by(F.when(F.col("path_cost").isNotNull(), row), F.when(F.col("path_cost").isNotNull(), F.struct(F.round("path_cost", 12), "target"))).alias("b")
+    return paths.groupBy("source").agg(best, F.count("path_cost").alias("reachable_target_count"), F.count("*").alias("target_count")).select("source", "b.*", "reachable_target_count", "target_count")
+
+
+def run_summary(paths: DataFrame) -> DataFrame:
+    """source_count, target_count, reachable_sources, fully_covered_targets, unreached_targets, of a path_table."""
+    targets = target_coverage(paths).agg(F.count("*").alias("target_count"), F.count_if(F.expr("coverage = 1")).alias("fully_covered_targets"), F.count_if(F.expr("reachable_source_count = 0")).alias("unreached_targets"))
+    sources = paths.groupBy("source").agg(F.count("path_cost").alias("n")).agg(F.count("*").alias("source_count"), F.count_if(F.expr("n > 0")).alias("reachable_sources"))
+    return sources.crossJoin(targets).select("source_count", "target_count", "reachable_sources", "fully_covered_targets", "unreached_targets")  # one row each

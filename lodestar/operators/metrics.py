@@ -3,20 +3,42 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+
+
+#: Ranges of values that a running sum without groups is dealt out by.
+RANGES = 64
+
+
+def running(cells: DataFrame, value: str, sums: dict[str, str], by: tuple[str, ...] = (), descending: bool = False, inclusive: bool = False) -> DataFrame:
+    """cells with running sums in the order of value (distinct within by): `sums` names a new column for each old one.
+
+    Without groups no task gets all rows: values are dealt out by ranges with bounds from the data,
+    summed inside a range, and the ranges before are added, of which there are RANGES at most.
+    """
+    order = F.desc(value) if descending else F.asc(value)
+    end = 0 if inclusive else -1
+    if by:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+        return cells.withColumns({new: F.coalesce(F.sum(old).over(w), F.lit(0)) for new, old in sums.items()})
+    found = cells.agg(F.percentile_approx(F.col(value).cast("double"), [k / RANGES for k in range(1, RANGES)], 1000).alias("b")).first().b
+    bounds = F.array(*(F.lit(float(x)) for x in sorted(set(found or [])))).cast("array<double>")
+    ranged = cells.withColumn("_range", F.size(F.filter(bounds, lambda x: x < F.col(value).cast("double"))) * (-1 if descending else 1))
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    totals = ranged.groupBy("_range").agg(*(F.sum(old).alias(f"_t_{new}") for new, old in sums.items()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = totals.select("_range", *(F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_o_{new}") for new in sums))
+    out = ranged.join(F.broadcast(offsets), "_range").withColumns({new: F.coalesce(F.sum(old).over(inside), F.lit(0)) + F.col(f"_o_{new}") for new, old in sums.items()})
+    return out.drop("_range", *(f"_o_{new}" for new in sums))
 
 
 def auroc(df: DataFrame, y: str, score: str, *by: str) -> DataFrame:
     """by, auroc; tied scores count half. Rows are first counted by score, so only distinct scores are ranked."""
     cells = df.groupBy(*by, score).agg(F.sum(F.col(y).cast("long")).alias("_p"), F.sum(1 - F.col(y).cast("long")).alias("_q"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cells.withColumn("_below", F.coalesce(F.sum("_q").over(w), F.lit(0)))
+    ranked = running(cells, score, {"_below": "_q"}, by)
     u = F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2))
     return ranked.groupBy(*by).agg(F.try_divide(u, F.sum("_p") * F.sum("_q")).alias("auroc"))
 
@@ -24,11 +46,58 @@ def auroc(df: DataFrame, y: str, score: str, *by: str) -> DataFrame:
 def average_precision(df: DataFrame, y: str, score: str, *by: str) -> DataFrame:
     """by, average_precision: precision at each distinct score, weighted by the recall it adds."""
     cells = df.groupBy(*by, score).agg(F.sum(F.col(y).cast("long")).alias("_p"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = cells.withColumn("_tp", F.sum("_p").over(w)).withColumn("_seen", F.sum("_n").over(w))
+    run = running(cells, score, {"_tp": "_p", "_seen": "_n"}, by, descending=True, inclusive=True)
     return run.groupBy(*by).agg(F.try_divide(F.sum(F.col("_p") * F.col("_tp") / F.col("_seen")), F.sum("_p")).alias("average_precision"))
 
 
+def threshold_curve(df: DataFrame, y: str, score: str) -> DataFrame:
+    """threshold, tp, fp, balanced_accuracy for predicting 1 from each distinct score on."""
+    cells = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(F.col(y).cast("long")).alias("_p"), F.sum(1 - F.col(y).cast("long")).alias("_q"))
+    run = running(cells, "threshold", {"tp": "_p", "fp": "_q"}, descending=True, inclusive=True)
+    total = F.broadcast(cells.agg(F.sum("_p").alias("_pp"), F.sum("_q").alias("_qq")))  # one row
+    both = run.crossJoin(total)
+    balanced = (F.try_divide("tp", "_pp") + 1 - F.try_divide("fp", "_qq")) / 2
+    return both.select("threshold", "tp", "fp", balanced.alias("balanced_accuracy"))
+
+
+def tuned_threshold(df: DataFrame, y: str, score: str) -> float:
+    """The score from which predicting 1 has the best balanced accuracy; of equal ones the highest."""
+    r = threshold_curve(df, y, score).agg(F.max_by("threshold", F.struct("balanced_accuracy", "threshold")).alias("t")).first()
+    return 0.5 if r.t is None else float(r.t)
+
+
+def exact_quantile(df: DataFrame, value: str, q: float, most: int = 1_000_000, bins: int = 1024) -> float | None:
+    """The q-quantile of value, linear between order statistics, without all values in one buffer.
+
+    While more than `most` rows are left, a histogram finds the bin that the two order statistics
+    fall in, and only its rows go on.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    s = rows.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if not s.n:
+        return None
+    n, low, high, at = s.n, s.low, s.high, q * (s.n - 1)
+    while n > most and high > low:
+        width = (high - low) / bins
+        b = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)).cast("int").alias("b")
+        seen, lower, upper = 0, None, None
+        for r in rows.groupBy(b).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect():  # `bins` rows
+            if lower is None and seen + r.n > math.floor(at):
+                lower, before = r, seen
+            if lower is not None and seen + r.n > math.ceil(at):
+                upper = r
+                break
+            seen += r.n
+        if (lower.low, upper.high) == (low, high):
+            break
+        low, high, at = lower.low, upper.high, at - before
+        rows = rows.filter(F.col("v").between(low, high))
+        n = rows.count()
+    if high == low:
+        return low
+    return rows.agg(F.percentile("v", F.lit(min(1.0, at / max(n - 1, 1)))).alias("p")).first().p
+
+
 def label_metrics(df: DataFrame, y: str, predicted: str) -> DataFrame:
     """accuracy, balanced_accuracy, weighted precision, recall and F1, mcc: all from one confusion table."""
     cells = df.groupBy(F.col(y).cast("string").alias("a"), F.col(predicted).cast("string").alias("b")).agg(F.count("*").alias("n"))
@@ -45,8 +114,7 @@ def label_metrics(df: DataFrame, y: str, predicted: str) -> DataFrame:
 def average_rank(df: DataFrame, value: str, name: str, *by: str) -> DataFrame:
     """df with the rank of value, ties averaged. Counts of distinct values are ranked, then joined back."""
     cells = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = cells.select(*by, value, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
+    ranks = running(cells, value, {"_below": "_n"}, by).select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, [*by, value])
 
 
@@ -63,51 +131,35 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.greatest(centre - half, F.lit(0.0)), F.least(centre + half, F.lit(1.0))
 
 
-#: Integers of the draws: replicate r takes for its i-th place row (A*r*r + B*i*i + C*r*i + D*i) mod P mod n.
-A, B, C, D, P = 7919, 104729, 15485863, 49979687, 2147483647
+def hashed(*parts: Column | int | str) -> Column:
+    """32 bits of the md5 of the parts, which any engine repeats."""
+    text = F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def draws(df: DataFrame, index: str, replicates: int) -> DataFrame:
-    """df's rows resampled with replacement for each `rep`, by integer arithmetic that any engine repeats. `index` numbers rows from 0."""
+def draws(df: DataFrame, index: str, replicates: int, seed: int = 42) -> DataFrame:
+    """df's rows resampled with replacement for each `rep`: the i-th place of replicate r takes row hash(seed, r, i) mod n. `index` numbers rows from 0."""
     n = df.count()
-    reps = df.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    places = reps.crossJoin(df.select(F.col(index).cast("long").alias("i")))  # stated replicates of each row
-    r, i = F.col("rep"), F.col("i")
-    taken = places.select("rep", F.pmod(F.pmod(A * r * r + B * i * i + C * r * i + D * i, F.lit(P)), F.lit(max(n, 1))).alias(index))
-    return taken.join(df, index)
+    rep = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("rep")
+    places = df.select(F.col(index).cast("long").alias("_i"), rep)  # stated replicates of each row
+    taken = places.select("rep", F.pmod(hashed(seed, F.col("rep"), F.col("_i")), F.lit(max(n, 1))).alias(index))
+    return taken.join(df.withColumn(index, F.col(index).cast("long")), index)
 
 
 def percentile_interval(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.count(value).alias("replicates"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """splitmix64 of unsigned integers."""
-    x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def shuffled(df: DataFrame, index: str, label: str, replicates: int, seed: int = 42) -> DataFrame:
+    """df's rows for each `rep`, with a permutation of all labels: the k-th row by `index` (numbers from 0) takes the label of the k-th in the replicate's hash order.
 
-
-def shuffled(df: DataFrame, index: str, label: str, replicates: int, seed: int = 42, tasks: int = 32) -> DataFrame:
-    """df's rows for each `rep`, with a permutation of all labels: the k-th row by `index` takes the label of the k-th in the replicate's hash order.
-
-    The integers of the draws are no order to shuffle by: they grow with small indexes, which would
-    stay in place. The rows go to each task once, for all of its replicates.
+    A replicate is sorted by itself, so replicates spread over tasks.
     """
-    rows = df.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartition(tasks, "_task")
-    columns = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).sort_by(index).combine_chunks()
-        first, labels = t.column("_task")[0].as_py(), t.column(label)
-        i = t.column(index).to_numpy().astype(np.uint64)
-        for rep in range(first, replicates, tasks):
-            order = np.argsort(_mixed(_mixed(np.array([seed << 32 | rep], np.uint64)) + i), kind="stable")
-            out = [pa.array(np.full(len(i), rep))] + [labels.take(pa.array(order)) if c == label else t.column(c) for c in columns]
-            yield from pa.table(out, ["rep", *columns]).to_batches(max_chunksize=100_000)
-
-    return rows.groupBy("_task").applyInArrow(run, StructType([StructField("rep", LongType()), *df.schema.fields]))
+    rep = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("rep")
+    drawn = df.select(F.col(index).alias("_i"), F.col(label).alias("_l"), rep)
+    order = Window.partitionBy("rep").orderBy(hashed(seed, F.col("rep"), F.col("_i")), "_i")
+    moved = drawn.select("rep", (F.row_number().over(order) - 1).cast("long").alias(index), F.col("_l").alias(label))
+    return moved.join(df.drop(label).withColumn(index, F.col(index).cast("long")), index).select("rep", *df.columns)
 
 
 def permutation_p(observed: DataFrame, null: DataFrame, value: str, smaller: bool = False) -> DataFrame:
@@ -117,10 +169,33 @@ def permutation_p(observed: DataFrame, null: DataFrame, value: str, smaller: boo
     return both.agg(F.first("_o").alias("observed"), F.count("_v").alias("permutations"), ((F.count_if(extreme) + 1) / (F.count("_v") + 1)).alias("p_value"))
 
 
-def nadeau_bengio(df: DataFrame, difference: str, test_share: float) -> DataFrame:
-    """mean, se of paired differences over repeated splits, corrected for shared training rows."""
+def nadeau_bengio(df: DataFrame, difference: str, test_share: float, alpha: float = 0.05) -> DataFrame:
+    """k, mean, se, low, high of paired differences over repeated splits, corrected for shared training rows; limits by Student's t with k - 1 degrees."""
     rho = test_share / (1 - test_share)
-    return df.agg(F.count(difference).alias("k"), F.avg(difference).alias("mean"), F.sqrt((1 / F.count(difference) + F.lit(rho)) * F.var_samp(difference)).alias("se"))
+    one = df.agg(F.count(difference).alias("k"), F.avg(difference).alias("mean"), F.sqrt((1 / F.count(difference) + F.lit(rho)) * F.var_samp(difference)).alias("se"))
+    k = one.first().k
+    t = F.lit(t_quantile(1 - alpha / 2, k - 1) if k > 1 else None).cast("double")
+    return one.select("k", "mean", "se", (F.col("mean") - t * F.col("se")).alias("low"), (F.col("mean") + t * F.col("se")).alias("high"))
+
+
+def wilcoxon(differences: list[float]) -> float:
+    """Two-sided p of the signed-rank test: exact up to 25 differences without ties, else normal with a correction for ties; 1 where all are 0."""
+    d = np.array([x for x in differences if x and not math.isnan(x)])
+    if not len(d):
+        return 1.0
+    size, n = np.abs(d), len(d)
+    _, at, count = np.unique(size, return_inverse=True, return_counts=True)
+    upto = np.cumsum(count)
+    rank = (upto - (count - 1) / 2)[at]
+    w = float(min(rank[d > 0].sum(), rank[d < 0].sum()))
+    if n <= 25 and (count == 1).all():
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1
+        for r in range(1, n + 1):
+            ways[r:] = ways[r:] + ways[: len(ways) - r]
+        return min(1.0, 2 * float(ways[: int(w) + 1].sum()) / 2**n)
+    sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - float((count**3 - count).sum()) / 48)
+    return math.erfc(abs(w - n * (n + 1) / 4) / sd / math.sqrt(2)) if sd else 1.0
 
 
 def t_quantile(p: float, df: float) -> float:

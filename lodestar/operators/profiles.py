@@ -31,7 +31,12 @@ def table_profile(df: DataFrame) -> DataFrame:
     rows = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), F.col("n").alias("n_rows"), F.col(f"u{i}").alias("n_unique"), F.col(f"m{i}").alias("n_missing")) for i, c in enumerate(cols)))
     out = one.select(F.explode(rows).alias("r")).select("r.*")
     ratio = F.when(F.col("n_rows") > 0, F.col("n_unique") / F.col("n_rows")).otherwise(0.0)
-    return out.withColumn("cardinality_ratio", ratio).withColumn("looks_like_id", ratio > ID_RATIO).withColumn("high_cardinality", (ratio > HIGH_SHARE) & (F.col("n_unique") > HIGH_COUNT))
+    # a name that says so and nearly all values distinct, or all distinct and no number: a continuous number is no id
+    named = F.lit(False)
+    for x in ROLE_NAMES["id"]:
+        named = named | F.lower("column").contains(x)
+    is_number = F.col("dtype").rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
+    return out.withColumn("cardinality_ratio", ratio).withColumn("looks_like_id", (named & (ratio > ID_RATIO)) | ((ratio == 1.0) & ~is_number)).withColumn("high_cardinality", (ratio > HIGH_SHARE) & (F.col("n_unique") > HIGH_COUNT))
 
 
 def leakage_columns(df: DataFrame) -> list[str]:

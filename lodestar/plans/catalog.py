@@ -149,7 +149,7 @@ def histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(geometry.histogram_quantile(geometry.flip_histogram(_assigned(spark, sf_dir)[0]), 0.1))
 
 
-@query("WITH k AS (SELECT (vec_id % 4)::INTEGER AS site, label, count(*) AS n FROM embeddings WHERE vec_id % 7 < label GROUP BY ALL), t AS (SELECT count(*) FILTER (WHERE n < 10) AS low, min(n) FILTER (WHERE n >= 10) AS nxt FROM k) SELECT site, label, n FROM k, t WHERE n >= 10 AND NOT (low = 1 AND n = nxt)")
+@query("WITH k AS (SELECT (vec_id % 4)::INTEGER AS site, label, count(*) AS n FROM embeddings GROUP BY ALL), t AS (SELECT count(*) FILTER (WHERE n < 10) AS low, min(n) FILTER (WHERE n >= 10) AS nxt FROM k) SELECT site, label, n FROM k, t WHERE n >= 10 AND NOT (low = 1 AND n = nxt)")
 def suppressed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _sites(spark, sf_dir).groupBy("site", "label").agg(F.count("*").alias("n"))
     return profiles.suppressed(cells)
@@ -200,15 +200,18 @@ def validate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NATION = """c0 AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
-e AS (SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, n / (SELECT max(n) FROM c0) AS weight FROM c0 WHERE n > 1.5 * (SELECT avg(n) FROM c0))"""
+e AS (SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, n / (SELECT max(n) FROM c0) AS weight FROM c0)"""
 
 
 def _walks(cost: str) -> str:
-    return f"""WITH RECURSIVE {_NATION}, p AS (
-  SELECT n_nationkey::VARCHAR AS source, n_nationkey::VARCHAR AS node, 0.0::DOUBLE AS cost, 0 AS hops, 1.0::DOUBLE AS strength, [n_nationkey::VARCHAR] AS seen FROM nation
-  UNION ALL SELECT source, dst, cost + {cost}, hops + 1, strength * weight, list_append(seen, dst) FROM p JOIN e ON node = src WHERE NOT list_contains(seen, dst) AND hops < 6
-), k AS (SELECT *, array_to_string(seen, ' -> ') AS path, row_number() OVER (PARTITION BY source, node ORDER BY round(cost, 12), array_to_string(seen, ' -> ')) AS r FROM p),
-s AS (SELECT source, node AS target, cost AS path_cost, hops, strength AS path_strength, path FROM k WHERE r = 1)"""
+    """Best paths by (source, target): a round relaxes all edges, as long as anything gets better."""
+    return f"""WITH RECURSIVE {_NATION}, s(source, target, path_cost, hops, path_strength, path) USING KEY (source, target) AS (
+  SELECT n_nationkey::VARCHAR, n_nationkey::VARCHAR, 0.0::DOUBLE, 0, 1.0::DOUBLE, n_nationkey::VARCHAR FROM nation
+  UNION SELECT m.source, m.target, m.b.c, m.b.h, m.b.w, m.b.t FROM (
+    SELECT s.source, e.dst AS target, min(struct_pack(k := round(s.path_cost + {cost}, 12), t := s.path || ' -> ' || e.dst, c := s.path_cost + {cost}, h := s.hops + 1, w := s.path_strength * e.weight)) AS b
+    FROM s JOIN e ON s.target = e.src AND e.src <> e.dst GROUP BY s.source, e.dst) m
+  LEFT JOIN recurring.s o ON o.source = m.source AND o.target = m.target
+  WHERE o.source IS NULL OR m.b.k < round(o.path_cost, 12) OR (m.b.k = round(o.path_cost, 12) AND m.b.t < o.path))"""
 
 
 def _paths(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
@@ -216,7 +219,7 @@ def _paths(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     return graph.shortest_paths(e, v, mode, directed=True)
 
 
-_HOPS = _walks("1")
+_HOPS = _walks("1.0")
 
 
 @query(f"{_HOPS} SELECT source, target, path_cost, hops, round(path_strength, 6) AS path_strength, path FROM s")
@@ -224,12 +227,12 @@ def hop_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_paths(spark, sf_dir, "hops"))
 
 
-@query(f"{_walks('weight')} SELECT source, target, round(path_cost, 6) AS path_cost, hops, round(path_strength, 6) AS path_strength, path FROM s")
+@query(f"{_walks('e.weight')} SELECT source, target, round(path_cost, 6) AS path_cost, hops, round(path_strength, 6) AS path_strength, path FROM s")
 def distance_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_paths(spark, sf_dir, "distance"))
 
 
-@query(f"{_walks('(-ln(least(greatest(weight, 1e-12), 1.0)))')} SELECT source, target, round(path_cost, 6) + 0.0 AS path_cost, hops, round(path_strength, 6) AS path_strength, path FROM s")
+@query(f"{_walks('(-ln(least(greatest(e.weight, 1e-12), 1.0)))')} SELECT source, target, round(path_cost, 6) + 0.0 AS path_cost, hops, round(path_strength, 6) AS path_strength, path FROM s")
 def strength_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_paths(spark, sf_dir, "strength"))
 
@@ -239,7 +242,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.path_pairs(_paths(spark, sf_dir, "hops"), v, v)
 
 
-_PAIRS = f"{_HOPS}, q AS (SELECT a.n_nationkey::VARCHAR AS source, b.n_nationkey::VARCHAR AS target FROM nation a JOIN nation b ON b.n_nationkey < 5 AND a.n_nationkey <> b.n_nationkey), j AS (SELECT q.source, q.target, path_cost, hops FROM q LEFT JOIN s ON q.source = s.source AND q.target = s.target)"
+_PAIRS = f"{_HOPS}, q AS (SELECT a.n_nationkey::VARCHAR AS source, b.n_nationkey::VARCHAR AS target FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey), j AS (SELECT q.source, q.target, path_cost, hops FROM q LEFT JOIN s ON q.source = s.source AND q.target = s.target)"
 
 
 @query(f"{_PAIRS}, b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY path_cost, target) AS r FROM j WHERE path_cost IS NOT NULL) SELECT x.source, b.target AS nearest_target, b.path_cost, b.hops, coalesce(x.n, 0) AS reachable_target_count FROM (SELECT source, count(path_cost) AS n FROM j GROUP BY source) x LEFT JOIN b ON x.source = b.source AND b.r = 1")
@@ -252,13 +255,24 @@ def target_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.target_coverage(_pairs(spark, sf_dir)))
 
 
-@query()
+#: Undirected edges, and all pairs' hops over them.
+_UNDIRECTED = f"""WITH RECURSIVE {_NATION}, u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) WHERE src <> dst),
+h(source, node, d) USING KEY (source, node) AS (SELECT n_nationkey::VARCHAR, n_nationkey::VARCHAR, 0 FROM nation UNION SELECT h.source, u.dst, min(h.d + 1) FROM h JOIN u ON h.node = u.src LEFT JOIN recurring.h o ON o.source = h.source AND o.node = u.dst WHERE o.source IS NULL GROUP BY h.source, u.dst)"""
+_PAGERANK = f"""WITH RECURSIVE {_NATION}, w AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM e),
+r AS (SELECT n_nationkey::VARCHAR AS id, 1.0::DOUBLE / count(*) OVER () AS r, 0 AS k FROM nation
+  UNION ALL SELECT n.id, 0.85 * (coalesce(g.got, 0) + hold.held / n.n) + 0.15 / n.n, n.k FROM
+    (SELECT id, count(*) OVER () AS n, k + 1 AS k FROM r WHERE k < 40) n
+    LEFT JOIN (SELECT w.dst AS id, sum(w.share * r.r) AS got FROM w JOIN r ON r.id = w.src GROUP BY w.dst) g ON g.id = n.id,
+    (SELECT coalesce(sum(r.r), 0) AS held FROM r WHERE r.id NOT IN (SELECT src FROM w)) hold)"""
+
+
+@query(f"{_PAGERANK} SELECT id::BIGINT AS id, round(r, 6) AS pagerank FROM r WHERE k = 40")
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e = tables.nation_trade(spark, sf_dir)
     return rounded(graph.pagerank(v, e, tolerance=1e-9))
 
 
-@query()
+@query(f"{_UNDIRECTED} SELECT n_nationkey::VARCHAR AS id, round(coalesce(count(d) / sum(d) * count(d) / (SELECT count(*) - 1 FROM nation), 0), 6) AS closeness FROM nation LEFT JOIN h ON source = n_nationkey::VARCHAR AND node <> source GROUP BY n_nationkey")
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e = tables.nation_trade(spark, sf_dir)
     return rounded(graph.closeness(v, graph.canonical(e)))
@@ -395,7 +409,16 @@ def wilson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("lang", r6(low, "low"), r6(high, "high"))
 
 
-_DRAWN = f"{_SCORED}, i AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM q), d AS (SELECT rep, (((7919 * rep * rep + 104729 * i * i + 15485863 * rep * i + 49979687 * i) % 2147483647) % n) AS i FROM range(50) x(rep), i), b AS (SELECT rep, y, s, p FROM d JOIN i USING (i))"
+#: Replicates of the bootstraps and of the permutation test, as the reference has them by default.
+REPLICATES, DELTA_REPLICATES, PERMUTATIONS = 1000, 2000, 1000
+
+
+def _drawn_sql(replicates: int) -> str:
+    return f"{_SCORED}, i AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM q), d AS (SELECT rep, ('0x' || substr(md5('42:' || rep || ':' || i), 1, 8))::BIGINT % n AS i FROM range({replicates}) x(rep), i), b AS (SELECT rep, y, s, p FROM d JOIN i USING (i))"
+
+
+_DRAWN = _drawn_sql(REPLICATES)
+_SHUFFLED = f"{_SCORED}, i AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM q), d AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('42:' || rep || ':' || i), 1, 8))::BIGINT, i) - 1 AS i FROM range({PERMUTATIONS}) x(rep), i), b AS (SELECT rep, d.y, i.s, i.p FROM d JOIN i USING (i))"
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,8 +428,8 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).withColumn("i", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long"))
 
 
-def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.draws(_numbered(spark, sf_dir), "i", 50)
+def _drawn(spark: SparkSession, sf_dir: str, replicates: int = REPLICATES) -> DataFrame:
+    return metrics.draws(_numbered(spark, sf_dir), "i", replicates)
 
 
 @query(f"{_DRAWN}, a AS (SELECT rep, avg((y = p)::INTEGER) AS v FROM b GROUP BY rep) SELECT count(*) AS replicates, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM a")
@@ -415,23 +438,36 @@ def bootstrap_ci_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.percentile_interval(a, "v"))
 
 
-@query(f"{_DRAWN}, r AS (SELECT rep, y, rank() OVER (PARTITION BY rep ORDER BY s) + (count(*) OVER (PARTITION BY rep, s) - 1) / 2 AS k, rank() OVER (PARTITION BY rep ORDER BY p) + (count(*) OVER (PARTITION BY rep, p) - 1) / 2 AS l FROM b), u AS (SELECT rep, (sum(k) FILTER (WHERE y = 1) - sum(l) FILTER (WHERE y = 1)) / (sum(y) * sum(1 - y)) AS v FROM r GROUP BY rep) SELECT count(*) AS replicates, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM u")
+@query(f"{_drawn_sql(DELTA_REPLICATES)}, r AS (SELECT rep, y, rank() OVER (PARTITION BY rep ORDER BY s) + (count(*) OVER (PARTITION BY rep, s) - 1) / 2 AS k, rank() OVER (PARTITION BY rep ORDER BY p) + (count(*) OVER (PARTITION BY rep, p) - 1) / 2 AS l FROM b), u AS (SELECT rep, (sum(k) FILTER (WHERE y = 1) - sum(l) FILTER (WHERE y = 1)) / (sum(y) * sum(1 - y)) AS v FROM r GROUP BY rep) SELECT count(*) AS replicates, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM u")
 def bootstrap_delta_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _drawn(spark, sf_dir)
+    d = _drawn(spark, sf_dir, DELTA_REPLICATES)
     both = metrics.auroc(d, "y", "s", "rep").join(metrics.auroc(d, "y", "p", "rep").withColumnRenamed("auroc", "other"), "rep")
     return rounded(metrics.percentile_interval(both.select((F.col("auroc") - F.col("other")).alias("v")), "v"))
 
 
-@query(f"{_DRAWN}, a AS (SELECT rep, avg((y = p)::INTEGER) AS v FROM b GROUP BY rep), o AS (SELECT avg((y = 1)::INTEGER) AS o FROM q) SELECT round(o, 6) AS observed, count(*) AS permutations, round((count(*) FILTER (WHERE v >= o) + 1) / (count(*) + 1), 6) AS p_value FROM a, o GROUP BY o")
+@query(f"{_SHUFFLED}, a AS (SELECT rep, avg((y = p)::INTEGER) AS v FROM b GROUP BY rep), o AS (SELECT avg((y = p)::INTEGER) AS o FROM q) SELECT round(o, 6) AS observed, count(*) AS permutations, round((count(*) FILTER (WHERE v >= o) + 1) / (count(*) + 1), 6) AS p_value FROM a, o GROUP BY o")
 def permutation_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The accuracy against that of 1000 shuffles of the labels, the reference's count."""
+    """The accuracy against that of shuffles of the labels."""
     rows, right = _numbered(spark, sf_dir), F.avg((F.col("y") == F.col("p")).cast("int")).alias("v")
-    return rounded(metrics.permutation_p(rows.agg(right), metrics.shuffled(rows, "i", "y", 1000).groupBy("rep").agg(right), "v"))
+    return rounded(metrics.permutation_p(rows.agg(right), metrics.shuffled(rows, "i", "y", PERMUTATIONS).groupBy("rep").agg(right), "v"))
+
 
+#: Repeated splits, and the t quantile for one degree less.
+SPLITS, _T9 = 10, 2.2621571627409915
 
-@query(f"{_DRAWN}, a AS (SELECT rep, avg((y = p)::INTEGER) - avg(y) AS v FROM b GROUP BY rep) SELECT count(*) AS k, round(avg(v), 6) AS mean, round(sqrt((1 / count(*) + 0.25::DOUBLE) * var_samp(v)), 6) AS se FROM a")
+
+@query(f"{_SCORED}, h AS (SELECT rep, y, p, s, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('42:' || rep || ':' || doc_id), 1, 8))::BIGINT, doc_id) AS r, count(*) OVER (PARTITION BY rep) AS n FROM range({SPLITS}) x(rep), q), m AS (SELECT rep, max(CASE WHEN r > floor(n * 0.2::DOUBLE) THEN 1 ELSE 0 END) AS one, CASE WHEN 2 * sum(y) FILTER (WHERE r > floor(n * 0.2::DOUBLE)) >= count(*) FILTER (WHERE r > floor(n * 0.2::DOUBLE)) THEN 1 ELSE 0 END AS majority FROM h GROUP BY rep), a AS (SELECT h.rep, avg((y = p)::INTEGER) - avg((y = majority)::INTEGER) AS v FROM h JOIN m USING (rep) WHERE r <= floor(n * 0.2::DOUBLE) GROUP BY h.rep), z AS (SELECT count(*) AS k, avg(v) AS mean, sqrt((1 / count(*) + 0.25::DOUBLE) * var_samp(v)) AS se FROM a) SELECT k, round(mean, 6) AS mean, round(se, 6) AS se, round(mean - {_T9} * se, 6) AS low, round(mean + {_T9} * se, 6) AS high FROM z")
 def nadeau_bengio_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _drawn(spark, sf_dir).groupBy("rep").agg((F.avg((F.col("y") == F.col("p")).cast("int")) - F.avg("y")).alias("v"))
+    """How much the accuracy of a rule on test rows is above that of the training rows' majority, over repeated splits."""
+    from pyspark.sql import Window
+
+    rep = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPLITS - 1).cast("long"))).alias("rep")
+    rows = _scored(spark, sf_dir).select("*", rep)
+    w = Window.partitionBy("rep")
+    r = F.row_number().over(w.orderBy(metrics.hashed(42, F.col("rep"), F.col("doc_id")), "doc_id"))
+    rows = rows.withColumn("test", r <= F.floor(F.count("*").over(w) * F.lit(0.2)))
+    majority = rows.filter("not test").groupBy("rep").agg((2 * F.sum("y") >= F.count("*")).cast("int").alias("majority"))
+    a = rows.filter("test").join(majority, "rep").groupBy("rep").agg((F.avg((F.col("y") == F.col("p")).cast("int")) - F.avg((F.col("y") == F.col("majority")).cast("int"))).alias("v"))
     return rounded(metrics.nadeau_bengio(a, "v", 0.2))
 
 
@@ -440,7 +476,7 @@ def nadeau_bengio_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _profile_sql(name: str, columns: dict[str, str]) -> str:
     parts = [f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count(*) AS n_rows, count(DISTINCT {c}) AS n_unique, count(*) FILTER (WHERE {c} IS NULL OR lower(trim({c}::VARCHAR)) IN ('', 'nan', 'none')) AS n_missing FROM {name}" for c, t in columns.items()]
-    return f"WITH p AS ({' UNION ALL '.join(parts)}) SELECT *, round(n_unique / n_rows, 6) AS cardinality_ratio, n_unique / n_rows > 0.95 AS looks_like_id, n_unique / n_rows > 0.5 AND n_unique > 20 AS high_cardinality FROM p"
+    return f"WITH p AS ({' UNION ALL '.join(parts)}) SELECT *, round(n_unique / n_rows, 6) AS cardinality_ratio, (regexp_matches(lower(\"column\"), 'id|identifier|accession|mrn|uuid|guid|key|index') AND n_unique / n_rows > 0.95) OR (n_unique = n_rows AND dtype = 'string') AS looks_like_id, n_unique / n_rows > 0.5 AND n_unique > 20 AS high_cardinality FROM p"
 
 
 @query(_profile_sql("customer", {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.labels import number
-from lodestar.operators import neighbours
+from lodestar.operators import neighbours, shaping
 
 
 @dataclass(frozen=True)
@@ -36,11 +36,25 @@ def adapt(df: DataFrame, profile: RegistryProfile) -> tuple[DataFrame, DataFrame
         cols.append(F.col(profile.outcome_column).cast("string").alias("Outcome"))
     nodes = df.select(*cols)
     if profile.edge_strategy == "knn":
-        stats = nodes.agg(*(F.avg(c).alias(f"m_{i}") for i, c in enumerate(features)), *(F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(features))).first()
-        z = F.array(*((F.col(c) - stats[f"m_{i}"]) / stats[f"s_{i}"] for i, c in enumerate(features) if stats[f"s_{i}"]))
-        edges = neighbours.knn_edges(nodes.select("ID", z.alias("z")), "ID", "z", profile.k)
+        edges = neighbours.knn_edges(neighbours.standardised_columns(nodes, "ID", features), "ID", "z", profile.k)
+        note = f"k nearest of standardised features, k = {profile.k}; edges restate the features"
     elif profile.edge_strategy == "shared":
         edges = neighbours.all_shared_pairs(df.select(F.col(profile.id_column).cast("string").alias("ID"), profile.edge_column), "ID", profile.edge_column)
+        note = f"cases with equal {profile.edge_column}"
     else:
         edges = nodes.sparkSession.createDataFrame([], "SourceID string, TargetID string, Weight double")
-    return nodes, edges, {"n_cases": nodes.count(), "feature_columns": features, "outcome_column": profile.outcome_column, "edge_strategy": profile.edge_strategy, "n_edges": edges.count(), "dropped_columns": list(profile.drop_columns)}
+        note = "no edges"
+    return nodes, edges, {"n_cases": nodes.count(), "feature_columns": features, "outcome_column": profile.outcome_column, "edge_strategy": profile.edge_strategy, "n_edges": edges.count(), "edge_note": note, "dropped_columns": list(profile.drop_columns), "source_sha256": shaping.frame_digest(df).first().sha256, "note": "edges are made, not observed" if profile.edge_strategy != "none" else "a table without a graph"}
+
+
+def graph_edges(nodes: DataFrame, key: str, features: list[str], mode: str = "none", k: int = 10, observed: DataFrame | None = None) -> DataFrame:
+    """Edges of a graph mode: none, similarity (nearest of mean-filled, standardised features, constant columns kept), or the observed ones as they are."""
+    if mode == "observed":
+        if observed is None:
+            raise ValueError("observed edges are missing")
+        return observed
+    if mode == "similarity":
+        return neighbours.knn_edges(neighbours.standardised_columns(nodes, key, features, impute=True, keep_constant=True), "ID", "z", k)
+    if mode != "none":
+        raise ValueError(f"graph mode {mode}")
+    return nodes.sparkSession.createDataFrame([], "SourceID string, TargetID string, Weight double")

@@ -1,6 +1,6 @@
 import pytest
 
-from lodestar.plans import catalog
+from lodestar.plans import catalog, more  # noqa: F401
 from tests.oracle import same
 
 SF = "/root/testdata/sf0.001"

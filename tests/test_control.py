@@ -19,7 +19,7 @@ def gate(payload, ledger, tier="aggregate", consent=CONSENT, purpose="study"):
 def test_egress_suppresses_and_records():
     ledger = governance.Ledger(b"key")
     out, manifest = gate({"n": 65, "class_n": {"a": 40, "b": 22, "rare": 3}}, ledger)
-    assert out["class_n"] == {"a": 40} and manifest["suppressed_cells"] == 2 and ledger.verify()
+    assert out["class_n"] == {"a": 40} and out["n"] == 40 and manifest["suppressed_cells"] == 2 and ledger.verify()
     ledger.entries[0]["event"]["disclosed"]["record_count"] = 1
     assert not ledger.verify()
 
@@ -73,7 +73,8 @@ def blobs(spark, n=60):
 def test_models_on_blobs(spark, model):
     parts = models.split(blobs(spark), "id", "c")
     assert parts.filter("is_test").count() == 12
-    assert models.evaluated(models.scored(parts, "v", "c", model), "c").first().accuracy == 1.0
+    r = models.split_row(parts, "v", "c", model).first()
+    assert r.accuracy == r.roc_auc == r.average_precision == 1.0 and r.brier < 0.2 and (r.train_rows, r.test_rows) == (48, 12)
 
 
 def test_split_needs_every_class(spark):
@@ -100,3 +101,74 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windowed").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(spark.table("windowed").collect()) == sorted(moments.windowed_moments(rows, "ts", "site", "v").collect())
+
+
+def test_suppression_leaves_no_way_back():
+    """Sums of hidden classes, extremes and totals go with the cells, whatever integers count them."""
+    import numpy as np
+
+    message = {"n": 65, "labeled_count": 65, "class_n": {"a": 40, "b": 22, "rare": 3}, "class_sum": {"a": [1.0], "b": [2.0], "rare": [3.0]}, "flip_min": 0.1, "flip_max": 9.0}
+    for integer in (int, np.int64, np.int32):
+        out, gone = governance.suppress(message | {"class_n": {k: integer(v) for k, v in message["class_n"].items()}}, 10)
+        assert set(out["class_n"]) == set(out["class_sum"]) == {"a"} and out["flip_min"] is out["flip_max"] is None
+        assert out["n"] == out["labeled_count"] == 40 and "class_n[rare]" in gone
+    two, _ = governance.suppress({"n_scored": 30, "flip_count": 28, "runner_up_counts": {"a": 4, "b": 5, "c": 19}}, 10)
+    assert two["runner_up_counts"] == {"c": 19} and two["flip_count"] == 19 and two["n_scored"] == 21
+    assert governance.suppress({"n": 50, "class_n": {"a": 25, "b": 25}}, 10)[0]["n"] == 50
+
+
+def test_ledger_as_a_table(spark, tmp_path):
+    ledger = governance.Ledger(b"key")
+    ledger.append({"a": 1}, "t0")
+    ledger.append_to(spark, str(tmp_path / "ledger"))
+    ledger.append({"b": [2]}, "t1")
+    ledger.append_to(spark, str(tmp_path / "ledger"), since=1)
+    again = governance.Ledger.read(spark, str(tmp_path / "ledger"), b"key")
+    assert again.verify() and len(again.entries) == 2 and not governance.Ledger.read(spark, str(tmp_path / "ledger"), b"other").verify()
+    again.entries.reverse()
+    assert not again.verify()
+
+
+def test_conflicts_must_be_declared():
+    assert governance.Consent("s", "study", "x", "v", conflict_declared=False).problems("study")
+
+
+def test_contestability_without_a_border(spark):
+    """Centroids that coincide, and a single class: infinitely far, no runner-up."""
+    from lodestar.operators import geometry
+
+    rows = [(1, [0.0, 1.0], "a"), (2, [1.0, 0.0], "a"), (3, [0.0, 1.0], "b"), (4, [1.0, 0.0], "b")]
+    for data in (rows, [r for r in rows if r[2] == "a"]):
+        df = spark.createDataFrame(data, "id int, v array<double>, c string")
+        got = geometry.contestability(df, "v", geometry.fit(df, "v", "c"), "id").collect()
+        assert len(got) == len(data) and all(r.flip_distance == float("inf") and r.single_axis_flip == float("inf") and r.runner_up is None for r in got)
+        assert geometry.contested(geometry.contestability(df, "v", geometry.fit(df, "v", "c"), "id")).filter("contested").count() == 0
+
+
+def test_draws_of_large_indexes(spark):
+    """Beyond what the square of an index could hold."""
+    from lodestar.operators import metrics
+
+    places = spark.range(9_999_990, 10_000_010).select(F.col("id").alias("i"))
+    assert metrics.draws(places, "i", 2).count() <= 40
+    assert places.select(metrics.hashed(1, F.col("i"))).distinct().count() == 20
+
+
+def test_exact_quantile_by_refinement(spark):
+    import numpy as np
+
+    from lodestar.operators import metrics
+
+    values = np.random.default_rng(3).lognormal(size=4000).tolist()
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for q in (0.0, 0.1, 0.5, 0.999, 1.0):
+        assert abs(metrics.exact_quantile(df, "v", q, most=50, bins=16) - np.quantile(values, q)) < 1e-9
+    assert metrics.exact_quantile(df.filter("v < 0"), "v", 0.5) is None
+
+
+def test_wilcoxon():
+    from lodestar.operators import metrics
+
+    assert metrics.wilcoxon([0.0, 0.0]) == 1.0
+    assert abs(metrics.wilcoxon([1, 2, 3, 4, 5]) - 0.0625) < 1e-12
+    assert metrics.wilcoxon([0.1] * 40) < 1e-6

@@ -1,5 +1,6 @@
 """The permutation test shuffles labels, and compares the real score with the shuffled ones."""
 
+import hashlib
 import math
 
 from pyspark.sql import functions as F
@@ -10,12 +11,8 @@ from lodestar.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-def mixed(x):
-    """splitmix64 of an integer."""
-    x = (x + 0x9E3779B97F4A7C15) % 2**64
-    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
-    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
-    return x ^ x >> 31
+def hashed(*parts):
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
 
 
 def test_query_equals_brute_force(spark):
@@ -23,7 +20,7 @@ def test_query_equals_brute_force(spark):
     labels, n = [y for y, _ in rows], len(rows)
     observed, extreme = sum(y == p for y, p in rows), 0
     for rep in range(1000):
-        order = sorted(range(n), key=lambda i: mixed((mixed(42 << 32 | rep) + i) % 2**64))
+        order = sorted(range(n), key=lambda i: (hashed(42, rep, i), i))
         extreme += sum(labels[i] == rows[k][1] for k, i in enumerate(order)) >= observed
     got = catalog.QUERIES["permutation_p_value"](spark, SF).first()
     assert (got.observed, got.permutations, got.p_value) == (round(observed / n, 6), 1000, round((extreme + 1) / 1001, 6))
