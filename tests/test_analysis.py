@@ -129,7 +129,7 @@ def test_spectral_embedding_by_both_ways(spark, monkeypatch):
 
 def ratings(spark, n=60):
     i = F.col("id")
-    h, j = (i % 3 == 0).cast("int").cast("string"), ((i % 3 == 0) ^ (i % 10 == 1)).cast("int").cast("string")
+    h, j = (i % 3 == 0).cast("int").cast("string"), ((i % 3 == 0) != (i % 10 == 1)).cast("int").cast("string")
     human = spark.range(n).select(F.concat(F.lit("i"), i).alias("item_id"), h.alias("human_label"), j.alias("human_label_2"), F.concat(F.lit("g"), i % 2).alias("group_a"))
     return human, spark.range(n).select(F.concat(F.lit("i"), i).alias("item_id"), j.alias("judge_label"), (0.55 + (i % 9) / 20).alias("judge_confidence"), (i % 3 + F.sin(i) / 4).alias("criterion_x"), F.cos(i).alias("criterion_y"))
 
