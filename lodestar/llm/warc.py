@@ -68,6 +68,10 @@ def record(page: int | None, url: str, payload: bytes, kind: str, refers_to: int
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+# Records that hold no page.
+OTHER_RECORDS = ("warcinfo", "request", "metadata", "resource", "conversion", "continuation")
+
+
 def parse(data: bytes) -> dict:
     """A record's fields, after its lengths and digests have been checked."""
     head, found, rest = data.partition(b"\r\n\r\n")
@@ -87,6 +91,8 @@ def parse(data: bytes) -> dict:
     block, kind = rest[:-4], fields["warc-type"]
     if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{digest(block)}":
         raise ValueError("block digest")
+    if kind in OTHER_RECORDS:
+        return {"record_type": kind}
     http, found, payload = block.partition(b"\r\n\r\n")
     if kind not in ("response", "revisit") or not found or not (size := re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http)):
         raise ValueError(f"{kind} record without an HTTP header")
@@ -130,7 +136,7 @@ def frame_end(data: memoryview, at: int) -> int:
 
 
 def records(content: bytes) -> Iterator[dict]:
-    """The records of an archive, in order."""
+    """The pages' records of an archive, in order; other records are validated and passed over."""
     if len(content) < 8:
         raise ValueError("no dictionary frame")
     magic, size = struct.unpack("<II", content[:8])
@@ -143,11 +149,16 @@ def records(content: bytes) -> Iterator[dict]:
     view, at = memoryview(content), 8 + size
     while at < len(view):
         end = frame_end(view, at)
+        one = reader.decompressobj()  # a frame need not say its content's size
         try:
-            data = reader.decompress(view[at:end])
+            data = one.decompress(bytes(view[at:end]))
         except zstd.ZstdError as e:
             raise ValueError(f"frame at byte {at}: {e}") from e
-        yield parse(data)
+        if not one.eof:
+            raise ValueError(f"frame at byte {at} cut short")
+        found = parse(data)
+        if found["record_type"] not in OTHER_RECORDS:
+            yield found
         at = end
 
 

@@ -264,3 +264,25 @@ def test_markers_of_many_partitions():
 
     markers = [SimpleNamespace(pid=k, first1=1, first2=1, last1=1, last2=1, last_doc=k, one_run=True) for k in range(3000)]
     assert line_dedup.continued(markers) == dict.fromkeys(range(1, 3000), 0)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Files with a warcinfo record and frames without a content size, through the binaryFile source."""
+    import struct
+
+    import zstandard as zstd
+
+    block = b"software: other\r\n"
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:0>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+    words = (info * 4)[:200]
+    packer = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(words), write_content_size=False)
+    made = struct.pack("<II", warc.SKIPPABLE_MAGIC, len(words)) + words
+    for r in (info, warc.record(7, "u", b"payload", "response", None), warc.record(8, "u", b"", "revisit", 7)):
+        one = packer.compressobj()
+        made += one.compress(r) + one.flush()
+    (tmp_path / "a.warc.zst").write_bytes(made)
+    files = spark.read.format("binaryFile").load(str(tmp_path / "a.warc.zst")).select("content")
+    got = {r.page_id: r for r in warc.read_archives(files).collect()}
+    assert set(got) == {7, 8} and got[7].record_type == "response" and got[8].refers_to == 7
+    with pytest.raises(ValueError):
+        list(warc.records(made[:-3]))
