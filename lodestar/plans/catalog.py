@@ -409,7 +409,7 @@ def wilson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("lang", r6(low, "low"), r6(high, "high"))
 
 
-#: Replicates of the bootstraps and of the permutation test, as the reference has them by default.
+#: Replicates of the bootstraps and of the permutation test.
 REPLICATES, DELTA_REPLICATES, PERMUTATIONS = 1000, 2000, 1000
 
 
