@@ -3,7 +3,10 @@
 Strings that could be equal are first brought together: every 50-byte string has an anchor, the
 smallest hash among its 16-byte substrings, and equal strings have equal anchors. A document is cut
 into runs of strings with the same anchor. Anchors go to their buckets alone first; those that only
-one document has are done with, and only of the others the runs' bytes follow. Equal runs become one.
+one document has are done with, and only of the others the runs' bytes follow. Equal runs of a chunk
+become one before they are sent, with the least and the largest of their documents, so that a passage
+that a third of all documents have costs its bucket a run for each chunk, not for each document; the
+chunk keeps their places and lays the answer out on them. In the bucket equal runs become one again.
 Documents are dealt out once, by hash into chunks, and each step meets them there again.
 
 In a bucket the runs are the strings of an index. Two shards of them get a suffix array and a BWT
@@ -92,6 +95,12 @@ def runs_of(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[begin], text[begin], at[begin], np.minimum(length[owner] - step, RUN)
 
 
+def digests(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 128-bit hash of each run, as two words."""
+    view = memoryview(data)
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[b : b + n]) for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)), np.uint64).reshape(-1, 2)
+
+
 KEYS = "bucket int, chunk long, data binary"
 
 
@@ -168,26 +177,35 @@ def shared_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spread(n_buckets: int):
-    """kind 0: a chunk's documents; kind 1: its runs with shared anchors, for a bucket."""
+    """kind 0: a chunk's documents, and where each run with a shared anchor is; kind 1: these runs, each once, for a bucket."""
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs.num_rows or not shared.num_rows:
             return pa.Table.from_batches([batch_of([])])
         chunk = docs.column("chunk")[0].as_py()
         ids, data, sizes = laid_out(docs.column("doc_id").to_pylist(), [x or b"" for x in docs.column("text").cast(pa.binary()).to_pylist()])
-        rows = [(0, chunk % n_buckets, chunk, pack(ids, docs.column("row_fp").to_numpy()))]
         key, text, begin, strings = runs_of(data, sizes)
         wanted = np.sort(np.concatenate([unpack(d.as_py())[0] for d in shared.column("data")]))
         use = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
         key, text, begin, strings = key[use], text[use], begin[use], strings[use]
-        begins = np.cumsum(sizes) - sizes
+        length = strings + LENGTH - 1
         order, cuts = buckets_of(key, n_buckets)
-        for b in range(n_buckets):
-            at = order[cuts[b] : cuts[b + 1]]
-            if len(at):
-                body = data[ranges(begin[at], strings[at] + LENGTH - 1)]
-                names, code = np.unique(text[at], return_inverse=True)
-                rows.append((1, b, chunk, pack(key[at], small(names), ids[names], small(code), small(begin[at] - begins[text[at]]), small(strings[at]), body)))
+        where = np.empty(len(key), np.int64)
+        where[order] = np.repeat(np.arange(n_buckets), np.diff(cuts))
+        digest = digests(data, begin, length)
+        by = np.lexsort((digest[:, 1], digest[:, 0], where))
+        new = np.ones(len(by), bool)
+        new[1:] = (digest[by][1:] != digest[by][:-1]).any(1)
+        first = np.flatnonzero(new)
+        own = ids[text[by]]
+        least, most = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
+        one = by[first]
+        cuts = np.searchsorted(where[one], np.arange(n_buckets + 1)).tolist()
+        rows = [(0, chunk % n_buckets, chunk, pack(ids, docs.column("row_fp").to_numpy(), small(text[by]), small((begin - (np.cumsum(sizes) - sizes)[text])[by]), np.packbits(new)))]
+        for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if lo < hi:
+                at = one[lo:hi]
+                rows.append((1, b, chunk, pack(np.array([lo]), least[lo:hi], most[lo:hi] - least[lo:hi], small(strings[at]), data[ranges(begin[at], length[at])])))
         return pa.Table.from_batches([batch_of(rows)])
 
     return run
@@ -309,31 +327,25 @@ def first_documents(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, doc
 
 
 def found(rows: list[tuple]) -> Iterator[tuple[int, bytes]]:
-    """For each chunk of a bucket its spans: text, begin, end."""
-    key = np.concatenate([r[1][0] for r in rows])
-    doc = np.concatenate([r[1][2][r[1][3]] for r in rows])
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    count = np.diff(np.r_[first, len(key)])
-    shared = np.repeat(np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first), count)
-    use = np.zeros(len(key), bool)
-    use[order[shared]] = True
-    if not use.any():
-        return
-    strings = np.concatenate([r[1][5] for r in rows]).astype(np.int64)
-    body = np.concatenate([r[1][6] for r in rows])
+    """For each chunk of a bucket the parts of its runs that are in smaller documents: run, first string, one past the last, a document.
+
+    The document is the first that has the strings, or NO_ID where that is smaller than all of the chunk's documents with the run.
+    """
+    index = np.concatenate([r[1][0][0] + np.arange(len(r[1][1])) for r in rows])
+    low_doc = np.concatenate([r[1][1] for r in rows])
+    high_doc = low_doc + np.concatenate([r[1][2] for r in rows])
+    strings = np.concatenate([r[1][3] for r in rows]).astype(np.int64)
+    body = np.concatenate([r[1][4] for r in rows])
     sizes = strings + LENGTH - 1
     begins = np.cumsum(sizes) - sizes
-    at = np.flatnonzero(use)
-    view = memoryview(body)
-    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[b : b + n]) for b, n in zip(begins[at].tolist(), sizes[at].tolist(), strict=True)), np.uint64).reshape(-1, 2)
+    digest = digests(body, begins, sizes)
     # equal runs become one, with the smallest of their documents; runs of the first documents come first
-    by = np.lexsort((doc[at], digest[:, 1], digest[:, 0]))
+    by = np.lexsort((low_doc, digest[:, 1], digest[:, 0]))
     new = np.r_[True, (digest[by][1:] != digest[by][:-1]).any(1)]
-    which = np.empty(len(at), np.int64)
+    which = np.empty(len(by), np.int64)
     which[by] = np.cumsum(new) - 1
-    unique = at[by[new]]
-    rank = np.argsort(doc[unique], kind="stable")
+    unique = by[new]
+    rank = np.argsort(low_doc[unique], kind="stable")
     place = np.empty(len(rank), np.int64)
     place[rank] = np.arange(len(rank))
     which, unique = place[which], unique[rank]
@@ -341,41 +353,39 @@ def found(rows: list[tuple]) -> Iterator[tuple[int, bytes]]:
     data = np.full(int((size + 1).sum()), END, np.uint8)
     start = np.cumsum(size + 1) - (size + 1)
     data[ranges(start, size)] = body[ranges(begins[unique], size)]
-    least = first_documents(data, start, size + 1, doc[unique])
+    least = first_documents(data, start, size + 1, low_doc[unique])
     # a string is removed where its document is larger than the first that has it
     n = strings[unique]
     every = least[ranges(start, n)]
     cuts = np.cumsum(n) - n
-    low, high = np.minimum.reduceat(every, cuts), np.maximum.reduceat(every, cuts)
-    own = doc[at]
-    whole, part = own > high[which], (own > low[which]) & (own <= high[which])
-    run, lo, hi = [at[whole]], [np.zeros(int(whole.sum()), np.int64)], [strings[at[whole]]]
-    if part.any():
-        p = at[part]
-        m = strings[p]
-        gone = every[ranges(cuts[which[part]], m)] < np.repeat(doc[p], m)
-        who = np.repeat(np.arange(len(p)), m)
-        inside = np.arange(len(gone)) - np.repeat(np.cumsum(m) - m, m)
-        edge = np.r_[True, who[1:] != who[:-1]]
-        begin = np.flatnonzero(gone & (edge | ~np.r_[False, gone[:-1]]))
-        end = np.flatnonzero(gone & np.r_[edge[1:] | ~gone[1:], True])
-        run.append(p[who[begin]])
-        lo.append(inside[begin])
-        hi.append(inside[end] + 1)
-    run, lo, hi = (np.concatenate(x) for x in (run, lo, hi))
-    begin = np.concatenate([r[1][4] for r in rows]).astype(np.int64)[run]
-    text = np.concatenate([r[1][1].astype(np.int64)[r[1][3]] for r in rows])[run]
-    source = np.repeat(np.arange(len(rows)), [len(r[1][0]) for r in rows])[run]
+    whole = low_doc > np.maximum.reduceat(every, cuts)[which]
+    part = np.flatnonzero(~whole & (high_doc > np.minimum.reduceat(every, cuts)[which]))
+    whole = np.flatnonzero(whole)
+    m = strings[part]
+    who = np.repeat(part, m)
+    inside = ranges(np.zeros(len(part), np.int64), m)
+    value = every[ranges(cuts[which[part]], m)]
+    value = np.where(value < low_doc[who], NO_ID, value)
+    edge = np.ones(len(who), bool)
+    edge[1:] = (who[1:] != who[:-1]) | (value[1:] != value[:-1])
+    begin = np.flatnonzero(edge)
+    end = np.r_[begin[1:], len(who)][: len(begin)]
+    gone = value[begin] < high_doc[who[begin]]
+    begin, end = begin[gone], end[gone]
+    run = np.r_[whole, who[begin]]
+    lo, hi = np.r_[np.zeros(len(whole), np.int64), inside[begin]], np.r_[strings[whole], inside[end - 1] + 1]
+    doc = np.r_[np.full(len(whole), NO_ID), value[begin]]
+    source = np.repeat(np.arange(len(rows)), [len(r[1][1]) for r in rows])[run]
     order = np.argsort(source, kind="stable")
     cuts = np.searchsorted(source[order], np.arange(len(rows) + 1))
     for k, r in enumerate(rows):
         s = order[cuts[k] : cuts[k + 1]]
         if len(s):
-            yield r[0], pack(small(text[s]), small(begin[s] + lo[s]), small(begin[s] + hi[s] + LENGTH - 1))
+            yield r[0], pack(small(index[run[s]]), small(lo[s]), small(hi[s]), doc[s])
 
 
 def searched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0 goes through; kind 2: spans of a chunk's texts, from sorted buckets."""
+    """kind 0 goes through; kind 2: parts of a chunk's runs, from sorted buckets."""
     held: list[tuple] = []
     bucket = None
     for batch in batches:
@@ -405,16 +415,23 @@ def united(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def spans_by_document(table: pa.Table) -> dict[tuple[int, int], bytes]:
     """Packed spans of a chunk's texts that lose bytes, by doc_id and row_fp."""
-    ids = fps = None
-    spans = []
+    places, parts = None, []
     for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
         if kind == 0:
-            ids, fps = unpack(data.as_py())
+            places = unpack(data.as_py())
         else:
-            spans.append(unpack(data.as_py()))
-    if not spans:
+            parts.append(unpack(data.as_py()))
+    if not parts:
         return {}
-    text, begin, end = (np.concatenate([s[k].astype(np.int64) for s in spans]) for k in range(3))
+    ids, fps, text, begin, new = places
+    run, lo, hi, first = (np.concatenate([p[k].astype(np.int64) for p in parts]) for k in range(4))
+    head = np.flatnonzero(np.unpackbits(new, count=len(text)))
+    times = np.diff(np.r_[head, len(text)])[run]
+    at, part = ranges(head[run], times), np.repeat(np.arange(len(run)), times)
+    gone = first[part] < ids[text[at]]
+    at, part = at[gone], part[gone]
+    text, begin = text[at].astype(np.int64), begin[at].astype(np.int64)
+    begin, end = begin + lo[part], begin + hi[part] + LENGTH - 1
     order = np.argsort(text, kind="stable")
     cuts = np.searchsorted(text[order], np.arange(len(ids) + 1))
     out = {}

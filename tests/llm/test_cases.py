@@ -109,6 +109,21 @@ def test_repeats_of_bytes(spark):
     assert got == brute.byte_dedup(rows)
 
 
+def test_repeats_of_bytes_in_many_copies(spark):
+    """Copies, parts of copies and repeated doc_ids, many to a chunk, whose first documents differ along a run."""
+    rng = np.random.default_rng(5)
+    passages = ["".join(rng.choice(list("abcd"), int(n))) for n in rng.integers(40, 400, 12)]
+    rows = []
+    for _ in range(150):
+        cut = [passages[k][int(rng.integers(0, 60)) :][: int(rng.integers(30, 400))] for k in rng.integers(0, 12, int(rng.integers(1, 5)))]
+        rows.append((int(rng.integers(-20, 400)), "".join(cut)))
+    rows += [(None, passages[0]), (500, passages[1] * 3), (501, passages[1] * 2)]
+    rows = list(dict(rows).items())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bwt_dedup.dedup_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    null = -(1 << 62)  # a null doc_id is smaller than all others
+    assert {null if d is None else d: v for d, v in got.items()} == brute.byte_dedup([(null if d is None else d, t) for d, t in rows])
+
+
 def test_merge_of_transforms_orders_strings():
     rng = np.random.default_rng(2)
     runs = [rng.integers(97, 99, int(n)).astype(np.uint8) for n in rng.integers(50, 90, 30)]
