@@ -146,6 +146,18 @@ def draws(df: DataFrame, index: str, replicates: int, seed: int = 42) -> DataFra
     return taken.join(df.withColumn(index, F.col(index).cast("long")), index)
 
 
+def group_draws(df: DataFrame, group: str, replicates: int, seed: int = 42) -> DataFrame:
+    """df's rows for each `rep`, with whole groups resampled with replacement: a group drawn twice gives its rows twice.
+
+    Rows without a group are one group. Groups are numbered in one window, by their values; for a
+    metric of sums, df is best a row of sums for each group.
+    """
+    known = df.select(group).distinct()
+    numbered = known.withColumn("_g", (F.row_number().over(Window.orderBy(group)) - 1).cast("long"))
+    drawn = draws(numbered.withColumnRenamed(group, "_own"), "_g", replicates, seed)
+    return df.join(drawn, F.col(group).eqNullSafe(F.col("_own"))).select("rep", *(f"`{c}`" for c in df.columns))
+
+
 def percentile_interval(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.count(value).alias("replicates"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar import sinks
 from lodestar.operators import agreement, audit, federated, geometry, governance, graph, metrics, models, neighbours, shaping, spectral
-from lodestar.plans.catalog import _FIT, _PAIRS, _RATE, _SCORED, _assigned, _fitted, _numbered, _paths, _scored, _sites, query, r6, rounded
+from lodestar.plans.catalog import _FIT, _PAIRS, _RATE, _SCORED, REPLICATES, _assigned, _fitted, _numbered, _paths, _scored, _sites, query, r6, rounded
 from lodestar.sources import tables
 from lodestar.sources.tables import table
 
@@ -322,3 +322,39 @@ def score_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_SCORED}, r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS k FROM q) SELECT count(*) AS n, round(sum(k) FILTER (WHERE y = 1), 4) AS rank_sum FROM r")
 def rank_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.average_rank(_numbered(spark, sf_dir), "s", "k").agg(F.count("*").alias("n"), F.round(F.sum(F.when(F.col("y") == 1, F.col("k"))), 4).alias("rank_sum"))
+
+
+# --- whole groups held out or resampled
+
+
+@query(f"WITH g AS (SELECT source, count(*) AS n, sum((quality = (n_chars >= 1000)::INTEGER)::INTEGER) AS hits FROM labels JOIN documents USING (doc_id) GROUP BY source), i AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS m FROM g), d AS (SELECT rep, ('0x' || substr(md5('42:' || rep || ':' || i), 1, 8))::BIGINT % m AS i FROM range({REPLICATES}) x(rep), i), a AS (SELECT rep, sum(hits) / sum(n) AS v FROM d JOIN i USING (i) GROUP BY rep) SELECT count(*) AS replicates, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM a")
+def bootstrap_ci_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits of the accuracy when whole sources are drawn, not rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    hit = F.col("quality") == (F.col("n_chars") >= 1000).cast("int")
+    sums = table(spark, sf_dir, "labels").join(docs, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum(hit.cast("int")).alias("hits"))
+    a = metrics.group_draws(sums, "source", REPLICATES).groupBy("rep").agg((F.sum("hits") / F.sum("n")).alias("v"))
+    return rounded(metrics.percentile_interval(a, "v"))
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with counts of their characters, lines and marks."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("n_chars").cast("double").alias("chars"), F.size(F.split(text, "\n")).cast("double").alias("lines"), F.length(F.regexp_replace(text, "[^#*$%&|<>]", "")).cast("double").alias("marks"))
+    return table(spark, sf_dir, "labels").select("doc_id", "quality").join(docs, "doc_id").persist()  # read again by every fit; numbers of labelled rows only
+
+
+@query()
+def external_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of the English documents' quality, tried on those in other languages."""
+    rows = _measured(spark, sf_dir)
+    out = models.external_validation(rows.filter("lang = 'en'"), rows.filter("lang <> 'en'"), "doc_id", ["chars", "lines", "marks"], "quality")
+    return rounded(spark.createDataFrame([(part, name, float(v)) for part, values in out.items() for name, v in values.items() if isinstance(v, (int, float))], "part string, metric string, value double"))
+
+
+@query()
+def split_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced accuracy under random splits, and with whole sources held out."""
+    rows = models.aligned(_measured(spark, sf_dir), ["chars", "lines", "marks"])
+    out = models.split_comparison(rows, "doc_id", "features_array", "quality", "source")
+    return rounded(spark.createDataFrame([(k, v["mean"], v["std"], v["n"]) for k, v in out.items() if v], "split string, mean double, std double, n long"))

@@ -1,5 +1,6 @@
 """Federation, harness, audit, sources, sinks and command lines on small inputs."""
 
+import hashlib
 import json
 import math
 import os
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar import cli, sinks
-from lodestar.operators import audit, federated, geometry, governance, graph, models, shaping, spectral
+from lodestar.operators import audit, federated, geometry, governance, graph, metrics, models, shaping, spectral
 from lodestar.sources import config, registry, tables
 
 
@@ -237,3 +238,16 @@ def test_bundle_is_the_same_for_the_same_files(tmp_path):
     (tmp_path / "a.txt").write_text("x")
     one = sinks.file_digest(sinks.bundle(str(tmp_path)))
     assert one == sinks.file_digest(sinks.bundle(str(tmp_path)))
+
+
+def test_draws_of_whole_groups(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (4, None), (5, "c")], "v int, g string")
+    got = {}
+    for r in metrics.group_draws(df, "g", 20).collect():
+        got.setdefault(r.rep, []).append((r.g, r.v))
+    own = {"a": [1, 2], "b": [3], None: [4, 4], "c": [5]}
+    order = [None, "a", "b", "c"]
+    for rep in range(20):
+        drawn = [order[int(hashlib.md5(f"42:{rep}:{i}".encode()).hexdigest()[:8], 16) % 4] for i in range(4)]
+        assert sorted(map(str, got[rep])) == sorted(str((g, v)) for g in drawn for v in own[g])
+    assert metrics.group_draws(df.limit(0), "g", 5).count() == 0
