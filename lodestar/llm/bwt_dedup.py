@@ -7,7 +7,8 @@ one document has are done with, and only of the others the runs' bytes follow. E
 become one before they are sent, with the least and the largest of their documents, so that a passage
 that a third of all documents have costs its bucket a run for each chunk, not for each document; the
 chunk keeps their places and lays the answer out on them. In the bucket equal runs become one again.
-Documents are dealt out once, by hash into chunks, and each step meets them there again.
+Documents are dealt out once, by hash into chunks, and each step meets them there again. A bucket is
+indexed in PARTS by anchor, one after another, so that a part stays in the processor's cache.
 
 In a bucket the runs are the strings of an index. Two shards of them get a suffix array and a BWT
 each. The two BWTs are merged without sorting suffixes anew: an interleave (which shard each row
@@ -40,7 +41,10 @@ from lodestar.llm.common import documents, lean, pack, partitions, small, texts,
 #: Bytes of a string, of an anchor, and most strings of a run.
 LENGTH, GRAM, RUN = 50, 16, 64
 #: Bytes of text that a chunk and of runs that a bucket are meant for; runs with shared anchors hold about SHARED bytes for each byte of text.
-CHUNK_BYTES, BUCKET_BYTES, SHARED = 4 << 20, 8 << 20, 1.5
+#: A chunk sends a row to each bucket, so rows grow with the square of the input over these two: a task holds as much as it can at once.
+CHUNK_BYTES, BUCKET_BYTES, SHARED = 16 << 20, 24 << 20, 1.5
+#: Parts of a bucket, by anchor, that are indexed one after another, and bytes of text whose anchors are found at once: both fit in the processor's cache.
+PARTS, SLICE_BYTES = 32, 1 << 17
 #: The byte that ends a run, the pair before rows that have no two bytes before them, the depth of the first interleave.
 END, NO_PAIR, FIRST = 0xFF, 0xFFFF, 8
 NO_ID = -(1 << 63)
@@ -78,6 +82,18 @@ def anchors(data: np.ndarray) -> np.ndarray:
 
 def runs_of(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """anchor, text, begin (in data), strings of each run; data holds texts of these sizes, one after another."""
+    ends = np.cumsum(sizes)
+    out, lo = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))], 0
+    while lo < len(sizes):
+        base = int(ends[lo] - sizes[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+        key, text, begin, strings = runs_of_slice(data[base : ends[hi - 1]], sizes[lo:hi])
+        out.append((key, text + lo, begin + base, strings))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def runs_of_slice(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if len(data) < LENGTH:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     keys = anchors(data)
@@ -186,26 +202,28 @@ def spread(n_buckets: int):
         ids, data, sizes = laid_out(docs.column("doc_id").to_pylist(), [x or b"" for x in docs.column("text").cast(pa.binary()).to_pylist()])
         key, text, begin, strings = runs_of(data, sizes)
         wanted = np.sort(np.concatenate([unpack(d.as_py())[0] for d in shared.column("data")]))
-        use = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+        order = np.argsort(key)  # a search for sorted keys stays in the processor's cache
+        use = np.empty(len(key), bool)
+        use[order] = wanted[np.minimum(np.searchsorted(wanted, key[order]), len(wanted) - 1)] == key[order]
         key, text, begin, strings = key[use], text[use], begin[use], strings[use]
         length = strings + LENGTH - 1
-        order, cuts = buckets_of(key, n_buckets)
-        where = np.empty(len(key), np.int64)
-        where[order] = np.repeat(np.arange(n_buckets), np.diff(cuts))
+        where = (key >> np.uint64(7)) % np.uint64(n_buckets * PARTS)
         digest = digests(data, begin, length)
-        by = np.lexsort((digest[:, 1], digest[:, 0], where))
+        by = np.argsort(where << np.uint64(40) | digest[:, 0] >> np.uint64(24))  # equal runs come together, as good as always
         new = np.ones(len(by), bool)
         new[1:] = (digest[by][1:] != digest[by][:-1]).any(1)
         first = np.flatnonzero(new)
         own = ids[text[by]]
         least, most = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
         one = by[first]
-        cuts = np.searchsorted(where[one], np.arange(n_buckets + 1)).tolist()
+        cuts = np.searchsorted(where[one], np.arange(n_buckets * PARTS + 1, dtype=np.uint64))
         rows = [(0, chunk % n_buckets, chunk, pack(ids, docs.column("row_fp").to_numpy(), small(text[by]), small((begin - (np.cumsum(sizes) - sizes)[text])[by]), np.packbits(new)))]
-        for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        for b in range(n_buckets):
+            part = cuts[b * PARTS : (b + 1) * PARTS + 1]
+            lo, hi = int(part[0]), int(part[-1])
             if lo < hi:
                 at = one[lo:hi]
-                rows.append((1, b, chunk, pack(np.array([lo]), least[lo:hi], most[lo:hi] - least[lo:hi], small(strings[at]), data[ranges(begin[at], length[at])])))
+                rows.append((1, b, chunk, pack(np.array([lo]), np.diff(part), least[lo:hi], most[lo:hi] - least[lo:hi], small(strings[at]), data[ranges(begin[at], length[at])])))
         return pa.Table.from_batches([batch_of(rows)])
 
     return run
@@ -326,26 +344,21 @@ def first_documents(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, doc
     return out
 
 
-def found(rows: list[tuple]) -> Iterator[tuple[int, bytes]]:
-    """For each chunk of a bucket the parts of its runs that are in smaller documents: run, first string, one past the last, a document.
+def found(low_doc: np.ndarray, high_doc: np.ndarray, strings: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of runs that are in smaller documents: run, first string, one past the last, a document.
 
-    The document is the first that has the strings, or NO_ID where that is smaller than all of the chunk's documents with the run.
+    The document is the first that has the strings, or NO_ID where that is smaller than all of the run's documents (low_doc to high_doc).
     """
-    index = np.concatenate([r[1][0][0] + np.arange(len(r[1][1])) for r in rows])
-    low_doc = np.concatenate([r[1][1] for r in rows])
-    high_doc = low_doc + np.concatenate([r[1][2] for r in rows])
-    strings = np.concatenate([r[1][3] for r in rows]).astype(np.int64)
-    body = np.concatenate([r[1][4] for r in rows])
     sizes = strings + LENGTH - 1
     begins = np.cumsum(sizes) - sizes
     digest = digests(body, begins, sizes)
     # equal runs become one, with the smallest of their documents; runs of the first documents come first
-    by = np.lexsort((low_doc, digest[:, 1], digest[:, 0]))
+    by = np.argsort(digest[:, 0])
     new = np.r_[True, (digest[by][1:] != digest[by][:-1]).any(1)]
     which = np.empty(len(by), np.int64)
     which[by] = np.cumsum(new) - 1
-    unique = by[new]
-    rank = np.argsort(low_doc[unique], kind="stable")
+    unique, first = by[new], np.minimum.reduceat(low_doc[by], np.flatnonzero(new))
+    rank = np.argsort(first, kind="stable")
     place = np.empty(len(rank), np.int64)
     place[rank] = np.arange(len(rank))
     which, unique = place[which], unique[rank]
@@ -353,7 +366,7 @@ def found(rows: list[tuple]) -> Iterator[tuple[int, bytes]]:
     data = np.full(int((size + 1).sum()), END, np.uint8)
     start = np.cumsum(size + 1) - (size + 1)
     data[ranges(start, size)] = body[ranges(begins[unique], size)]
-    least = first_documents(data, start, size + 1, low_doc[unique])
+    least = first_documents(data, start, size + 1, first[rank])
     # a string is removed where its document is larger than the first that has it
     n = strings[unique]
     every = least[ranges(start, n)]
@@ -374,35 +387,57 @@ def found(rows: list[tuple]) -> Iterator[tuple[int, bytes]]:
     begin, end = begin[gone], end[gone]
     run = np.r_[whole, who[begin]]
     lo, hi = np.r_[np.zeros(len(whole), np.int64), inside[begin]], np.r_[strings[whole], inside[end - 1] + 1]
-    doc = np.r_[np.full(len(whole), NO_ID), value[begin]]
-    source = np.repeat(np.arange(len(rows)), [len(r[1][1]) for r in rows])[run]
-    order = np.argsort(source, kind="stable")
-    cuts = np.searchsorted(source[order], np.arange(len(rows) + 1))
-    for k, r in enumerate(rows):
-        s = order[cuts[k] : cuts[k + 1]]
-        if len(s):
-            yield r[0], pack(small(index[run[s]]), small(lo[s]), small(hi[s]), doc[s])
+    return run, lo, hi, np.r_[np.full(len(whole), NO_ID), value[begin]]
+
+
+def found_in_bucket(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """For each chunk of a bucket the parts of its runs that are in smaller documents, as `found` gives them, with the chunk's numbers of the runs."""
+    first, count, low, more, strings, body = zip(*(unpack(data) for _, data in rows), strict=True)
+    ends = [np.cumsum(c) for c in count]  # of each part, in runs and in bytes
+    size = [n.astype(np.int64) + LENGTH - 1 for n in strings]
+    until = [np.r_[0, np.cumsum(n)] for n in size]
+    got: list[list[tuple]] = [[] for _ in rows]
+    for k in range(PARTS):
+        cut = [slice(int(e[k] - c[k]), int(e[k])) for e, c in zip(ends, count, strict=True)]
+        runs = np.array([int(c[k]) for c in count])
+        if not runs.sum():
+            continue
+        pick = lambda of: np.concatenate([x[c] for x, c in zip(of, cut, strict=True)])  # noqa: E731, B023
+        low_doc = pick(low)
+        run, lo, hi, doc = found(low_doc, low_doc + pick(more), pick(size) - LENGTH + 1, np.concatenate([b[u[c.start] : u[c.stop]] for b, u, c in zip(body, until, cut, strict=True)]))
+        order = np.argsort(run, kind="stable")
+        run, lo, hi, doc = run[order], lo[order], hi[order], doc[order]
+        before = np.cumsum(runs) - runs
+        edges = np.searchsorted(run, np.r_[before, runs.sum()])
+        for r in np.flatnonzero(np.diff(edges)).tolist():
+            s = slice(edges[r], edges[r + 1])
+            got[r].append((run[s] - before[r] + cut[r].start + first[r][0], lo[s], hi[s], doc[s]))
+    for (chunk, _), parts in zip(rows, got, strict=True):
+        if parts:
+            run, lo, hi, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield chunk, pack(small(run), small(lo), small(hi), doc)
 
 
 def searched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0 goes through; kind 2: parts of a chunk's runs, from sorted buckets."""
-    held: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        return batch_of([(2, bucket, c, spans) for c, spans in found_in_bucket(held)])
+
+    held: list[tuple[int, bytes]] = []
     bucket = None
     for batch in batches:
-        for k in range(batch.num_rows):
-            kind, b, chunk, data = (batch.column(i)[k].as_py() for i in range(4))
+        for kind, b, chunk, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if held and b != bucket:
-                for c, spans in found(held):
-                    yield batch_of([(2, bucket, c, spans)])
+                yield out()
                 held = []
             bucket = b
             if kind == 0:
                 yield batch_of([(0, b, chunk, data)])
             else:
-                held.append((chunk, unpack(data)))
+                held.append((chunk, data))
     if held:
-        for c, spans in found(held):
-            yield batch_of([(2, bucket, c, spans)])
+        yield out()
 
 
 def united(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -448,6 +483,11 @@ def with_spans(docs: pa.Table, found_rows: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs.column("doc_id"), "row_fp": docs.column("row_fp"), "text": docs.column("text"), "spans": pa.array(made, pa.binary())})
 
 
+def dealt_in(size: int, p: int) -> tuple[int, int]:
+    """Chunks and buckets for texts of `size` bytes and p partitions."""
+    return max(p, math.ceil(size / CHUNK_BYTES)), max(p, math.ceil(SHARED * size / BUCKET_BYTES))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, row_fp, text, spans of each row of docs."""
     spark = docs.sparkSession
@@ -455,7 +495,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     own = documents(docs).select("doc_id", "text", "row_fp")
     size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     p = partitions(spark)
-    n_chunks, n_buckets = max(p, math.ceil(size / CHUNK_BYTES)), max(p, math.ceil(SHARED * size / BUCKET_BYTES))
+    n_chunks, n_buckets = dealt_in(size, p)
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row_fp"), F.lit(n_chunks))).repartition(p, "chunk")
     by_bucket = lambda rows: rows.repartition(p, "bucket").sortWithinPartitions("bucket", "chunk")
     keys = by_bucket(dealt.sortWithinPartitions("chunk").mapInArrow(lean(anchor_keys(n_buckets)), KEYS)).mapInArrow(lean(shared_keys), KEYS)

@@ -3,6 +3,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +126,34 @@ def test_repeats_of_bytes_in_many_copies(spark):
     assert {null if d is None else d: v for d, v in got.items()} == brute.byte_dedup([(null if d is None else d, t) for d, t in rows])
 
 
+def test_repeats_of_bytes_over_parts_and_slices(spark, monkeypatch):
+    """Many slices to a chunk, chunks to a task and parts to a bucket give what brute force gives; local mode's workers see other sizes by closures only, so the steps run here."""
+    monkeypatch.setattr(bwt_dedup, "SLICE_BYTES", 300)
+    rng = np.random.default_rng(8)
+    passages = ["".join(rng.choice(list("abcdefgh "), 200)) for _ in range(8)]
+    rows = [(k, "".join(passages[j][int(rng.integers(0, 90)) :] for j in rng.integers(0, 8, int(rng.integers(0, 4)))) + f"own {k}") for k in range(120)]
+    dealt = [pa.table({"chunk": pa.array([c] * 40, pa.int64()), "doc_id": [d for d, _ in rows[c::3]], "row_fp": pa.array([0] * 40, pa.int64()), "text": [t for _, t in rows[c::3]]}) for c in range(3)]
+    keys = pa.Table.from_batches(bwt_dedup.shared_keys(sorted_rows(bwt_dedup.anchor_keys(2)(b for t in dealt for b in t.to_batches()), "bucket", "chunk")))
+    sent = pa.concat_tables(bwt_dedup.spread(2)(t, keys.filter(pa.compute.equal(keys["chunk"], c))) for c, t in enumerate(dealt))
+    assert sent.num_rows == 3 + 3 * 2  # a chunk's places, and a row to each bucket
+    back = pa.Table.from_batches(bwt_dedup.searched(sorted_rows(sent.to_batches(), "bucket", "chunk")))
+    want = brute.byte_dedup(rows)
+    for c, t in enumerate(dealt):
+        for r in bwt_dedup.with_spans(t, back.filter(pa.compute.equal(back["chunk"], c))).to_pylist():
+            kept, n = bwt_dedup.without(r["text"].encode(), r["spans"])
+            assert (n, hashlib.sha256(kept).hexdigest()) == want[r["doc_id"]][2:]
+
+
+def sorted_rows(batches, *by):
+    return pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in by]).to_batches()
+
+
+def test_rows_between_chunks_and_buckets_of_6_gb():
+    """10 GB of text in 600 tasks: a task's rows are one or two for each other task, not the square of smaller pieces."""
+    chunks, buckets = bwt_dedup.dealt_in(10_000_000_000, 600)
+    assert chunks * buckets <= 2 * 600 * 600
+
+
 def test_merge_of_transforms_orders_strings():
     rng = np.random.default_rng(2)
     runs = [rng.integers(97, 99, int(n)).astype(np.uint8) for n in rng.integers(50, 90, 30)]
